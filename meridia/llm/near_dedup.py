@@ -72,38 +72,38 @@ def _features(k: int):
     return run
 
 
-def _chosen(nodes: DataFrame, jaccard: float) -> DataFrame:
-    """Branch rows (node, depth, id, sig): one row for each coordinate that the node's hash chooses."""
-    first = "pmod(xxhash64(node, depth), {t})"
-    second = "if(pmod(xxhash64(depth, node, 1), 1000) < {p}, array(pmod({f} + 1 + pmod(xxhash64(node, 2), {t} - 1), {t})), array())"
-    f = first.format(t=T)
-    at = F.explode(F.expr(f"concat(array({f}), {second.format(t=T, f=f, p=round(1000 / jaccard - 1000))})")).alias("at")
-    out = nodes.select("root", "node", "depth", "id", "sig", at)
-    return out.select("root", F.expr("xxhash64(node, at, sig[cast(at as int)])").alias("node"), (F.col("depth") + 1).alias("depth"), "id", "sig")
+def _chosen(rows: DataFrame, jaccard: float) -> DataFrame:
+    """Branch rows (node, depth, id, sig): a row (node, depth, id) for each coordinate that the node's hash chooses."""
+    f = f"pmod(xxhash64(node, depth), {T})"
+    second = f"if(pmod(xxhash64(depth, node, 1), 1000) < {round(1000 / jaccard - 1000)}, array(pmod({f} + 1 + pmod(xxhash64(node, 2), {T} - 1), {T})), array())"
+    nodes = f"transform(concat(array({f}), {second}), at -> xxhash64(node, at, sig[cast(at as int)]))"
+    return rows.select(F.explode(F.expr(nodes)).alias("node"), (F.col("depth") + 1).alias("depth"), "id")
 
 
-def leaves(rows: DataFrame, jaccard: float, most: int) -> DataFrame:
-    """Leaves (node, id) of the trees whose roots rows (root, id, sig) name; no leaf has more than most rows.
+def leaves(roots: DataFrame, sigs: DataFrame, jaccard: float, most: int) -> DataFrame:
+    """Leaves (node, id) of the trees whose roots the rows (root, id, sig) name; no leaf has more than most rows.
 
-    Trees are grown level by level. Nodes of one row go; a node that DEPTH levels could not
-    split is dealt out at random into leaves of about most / 2 rows, each with the node's least id.
+    Trees are grown level by level; minwise values are fetched from sigs (id, sig) again for the
+    rows of nodes that are too large, and never kept with the rows. Nodes of one row go; a node that
+    DEPTH levels could not split is dealt out by a hash into leaves of about most / 2 rows, each
+    with the node's least id.
     """
-    level = rows.select("root", F.col("root").alias("node"), F.lit(0).alias("depth"), "id", "sig")
+    level = cut(_chosen(roots.select(F.col("root").alias("node"), F.lit(0).alias("depth"), "id", "sig"), jaccard))
     done: list[DataFrame] = []
     for depth in range(DEPTH + 1):
-        level = cut(_chosen(level, jaccard).dropDuplicates(["node", "id"]) if depth else _chosen(level, jaccard))
         counts = level.groupBy("node").agg(F.count("*").alias("rows"), F.min("id").alias("least")).where("rows > 1")
         counted = level.join(counts, "node")
         done.append(counted.where(f"rows <= {most}").select("node", "id"))
         big = counted.where(f"rows > {most}")
         if depth == DEPTH:
-            parts = F.expr(f"ceil(rows * 2 / {most})")
-            dealt = big.where("id != least").select(F.xxhash64("node", F.expr("pmod(xxhash64(id), ceil(rows * 2 / %d))" % most)).alias("node"), "id")
-            pivots = counts.where(f"rows > {most}").select("node", "least", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part"))
-            done += [dealt, pivots.select(F.xxhash64("node", "part").alias("node"), F.col("least").alias("id"))]
-        elif not big.take(1):
+            part = F.expr(f"pmod(xxhash64(id), ceil(rows * 2 / {most}))")
+            pivots = counts.where(f"rows > {most}").select("node", "least", F.explode(F.expr(f"sequence(0L, ceil(rows * 2 / {most}) - 1)")).alias("part"))
+            done.append(big.where("id != least").select(F.xxhash64("node", part).alias("node"), "id"))
+            done.append(pivots.select(F.xxhash64("node", "part").alias("node"), F.col("least").alias("id")))
+        elif big.take(1):
+            level = cut(_chosen(big.select("node", "depth", "id").join(sigs, "id"), jaccard).dropDuplicates(["node", "id"]))
+        else:
             break
-        level = big.select("root", "node", "depth", "id", "sig")
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)
@@ -229,7 +229,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # 1. families
     roots = reps.select("id", "sig", F.explode(F.sequence(F.lit(1), F.lit(trees))).alias("tree")).select(F.xxhash64("tree").alias("root"), "id", "sig")
     sketch = reps.select("id", "n", F.expr("unhex(array_join(transform(sig, x -> lpad(hex(x & 255), 2, '0')), ''))").alias("sketch"))
-    met = leaves(roots, j, node).join(sketch, "id")
+    met = leaves(roots, reps.select("id", "sig"), j, node).join(sketch, "id")
     loose = met.select("node", "id", "n", "sketch").repartition("node").sortWithinPartitions("node").mapInArrow(_loose(j - 0.15), "a long, b long")
     families = components(loose)
     # 2. exact links
@@ -240,7 +240,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if sizes.where("not whole").take(1):
         grown = placed.where("not whole").select("id", "sig", F.explode(F.sequence(F.lit(1), F.lit(trees))).alias("tree"), "root")
         widest = max(2, LEAF_SHINGLES // max(1, members.agg(F.max("n")).first()[0]))
-        plain = plain.unionByName(leaves(grown.select(F.xxhash64("root", "tree").alias("root"), "id", "sig"), j, min(family, widest)))
+        plain = plain.unionByName(leaves(grown.select(F.xxhash64("root", "tree").alias("root"), "id", "sig"), reps.select("id", "sig"), j, min(family, widest)))
     work = rows.join(plain, "id").select("node", "id", "text")
     sets = work.mapInArrow(_sets(k), "node long, id long, shingles binary").dropDuplicates(["node", "id"])
     links = sets.repartition("node").sortWithinPartitions("node", "id").mapInArrow(_exact(percent), "a long, b long")
