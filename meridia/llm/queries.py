@@ -4,18 +4,50 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import near_dedup
+from . import decontaminate, line_dedup, media, near_dedup, packing, toxicity, url_filter
 from .common import table
 
-SQL: dict[str, str] = {}
+TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+
+
+def toxic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.media_features(media.media_column(table(spark, sf_dir, "documents")))
+
+
+def packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), TOKENIZER, keep_ids=False)
+
+
+def leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_dedup(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_removed")
 
 
 def near(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_toxicity": toxic,
+    "op3_telephony_audio": telephony,
+    "op4_packing": packed,
+    "op6_decontamination": leaks,
+    "op7_line_dedup": lines,
     "op9_minhash_near_dedup": near,
+    "op10_url_filter": urls,
 }
+SQL: dict[str, str] = {"op10_url_filter": url_filter.SQL}
