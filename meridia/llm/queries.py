@@ -7,12 +7,16 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, line_dedup, media, near_dedup, packing, toxicity, url_filter
+from . import decontaminate, html_text, language, line_dedup, media, near_dedup, packing, pii, toxicity, url_filter
 from .common import table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
+def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(table(spark, sf_dir, "documents"))
+
+
 def toxic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -25,6 +29,10 @@ def packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), TOKENIZER, keep_ids=False)
 
 
+def main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -33,6 +41,10 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_dedup(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_removed")
 
 
+def personal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(table(spark, sf_dir, "documents"))
+
+
 def near(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -42,11 +54,14 @@ def urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language_id": language_id,
     "op2_toxicity": toxic,
     "op3_telephony_audio": telephony,
     "op4_packing": packed,
+    "op5_html_extraction": main_text,
     "op6_decontamination": leaks,
     "op7_line_dedup": lines,
+    "op8_pii_bootstrap": personal,
     "op9_minhash_near_dedup": near,
     "op10_url_filter": urls,
 }
