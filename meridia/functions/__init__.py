@@ -1 +1 @@
-"""Functions of the engine."""
+"""Column functions of the engine."""
