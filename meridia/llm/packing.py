@@ -31,7 +31,9 @@ from .common import slices
 
 LENGTH, END = 4096, 2
 #: Pieces of words whose ids a worker remembers.
-REMEMBERED = 600_000
+REMEMBERED = 1_000_000
+#: A character that is a pre-token of its own between spaces.
+MARK = "\0"
 #: Byte classes: 0 white space, 1 ASCII letter, 2 ASCII digit, 3 other ASCII, 4 apostrophe or part of another character.
 CLASS = np.array([0 if text.SPACE[c] else 4 if c > 127 or c == 39 else 1 if chr(c).isalpha() else 2 if chr(c).isdigit() else 3 for c in range(256)], np.uint8)
 #: Whether two neighbouring bytes of these classes always belong to different pre-tokens.
@@ -54,6 +56,7 @@ class WordTokens:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.mark = self.tokenizer.encode(MARK, add_special_tokens=False).ids[0]
         self.clear()
 
     def clear(self) -> None:
@@ -62,17 +65,29 @@ class WordTokens:
         self.at = np.zeros(2, np.int64)
 
     def _learn(self, hashes: list[int], pieces: list[str]) -> None:
-        new = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
-        n, lens = len(self.known), np.array([len(x) for x in new])
+        """Encode distinct pieces in one call, a mark between each two, and remember their ids."""
+        marked = [x for x in pieces if MARK in x]  # these would be cut; they are encoded alone
+        rows = self.tokenizer.encode_batch_fast([f" {MARK} ".join(x for x in pieces if MARK not in x), *marked], add_special_tokens=False)
+        ids = np.array(rows[0].ids, np.uint32)
+        ends = np.append(np.flatnonzero(ids == self.mark), len(ids))
+        starts = np.append(0, ends[:-1] + 1)
+        lens = np.array([len(x.ids) for x in rows[1:]], np.int64)
+        if len(marked) < len(pieces):
+            alone = np.array([MARK in x for x in pieces])
+            order = np.argsort(alone, kind="stable")
+            hashes = [hashes[i] for i in order]
+            lens = np.concatenate([ends - starts, lens])
+        new = np.concatenate([ids[ids != self.mark], *[np.array(x.ids, np.uint32) for x in rows[1:]]])
+        n = len(self.known)
         start = int(self.at[n])
         ends = start + np.cumsum(lens)
         if ends[-1] > len(self.ids):
             self.ids = np.resize(self.ids, max(int(ends[-1]), 2 * len(self.ids)))
-        if n + len(new) + 1 > len(self.at):
-            self.at = np.resize(self.at, max(n + len(new) + 1, 2 * len(self.at)))
-        self.ids[start : ends[-1]] = np.concatenate(new)
-        self.at[n + 1 : n + 1 + len(new)] = ends
-        self.known.update(zip(hashes, range(n, n + len(new))))
+        if n + len(lens) + 1 > len(self.at):
+            self.at = np.resize(self.at, max(n + len(lens) + 1, 2 * len(self.at)))
+        self.ids[start : ends[-1]] = new
+        self.at[n + 1 : n + 1 + len(lens)] = ends
+        self.known.update(zip(hashes, range(n, n + len(lens))))
 
     def encode(self, col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a column of texts and the n + 1 bounds by text."""
@@ -87,11 +102,17 @@ class WordTokens:
         first[cut] = kind[cut] != 0
         starts = np.flatnonzero(first)
         # a piece ends at the next piece, white space or the text's end
-        stop = np.flatnonzero(kind == 0)
-        bounds = np.unique(np.concatenate([starts, stop, offsets]))
-        ends = bounds[np.searchsorted(bounds, starts, "right")]
+        edge = np.append(first | (kind == 0), True)
+        edge[offsets] = True
+        bounds = np.flatnonzero(edge)
+        ends = bounds[np.cumsum(edge)[starts]]
         hashes = text.hash_spans(data, starts, ends)
-        unique, where, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+        order = np.argsort(hashes)
+        ordered = hashes[order]
+        new = np.append(True, ordered[1:] != ordered[:-1])
+        unique, where = ordered[new], order[new]
+        inverse = np.empty(len(order), np.int64)
+        inverse[order] = np.cumsum(new) - 1
         if len(self.known) + len(unique) > REMEMBERED:
             self.clear()
         asked = unique.tolist()
