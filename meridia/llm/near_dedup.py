@@ -52,7 +52,7 @@ def minwise(u: np.ndarray) -> np.ndarray:
 def shingle_sets(col: pa.Array, k: int) -> Iterator[np.ndarray]:
     h, b = text.words(col)
     for i in range(len(b) - 1):
-        yield np.unique(text.shingles(h[b[i] : b[i + 1]], k))
+        yield text.distinct(text.shingles(h[b[i] : b[i + 1]], k))
 
 
 def _features(k: int):

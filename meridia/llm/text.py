@@ -101,6 +101,14 @@ def words(col: pa.Array, folded: bool = True) -> tuple[np.ndarray, np.ndarray]:
     return hash_spans(data, starts, ends, FOLDED if folded else BYTES), np.searchsorted(starts, offsets)
 
 
+def distinct(values: np.ndarray) -> np.ndarray:
+    """Sorted distinct values; numpy's own unique hashes first, which is slower here."""
+    if len(values) < 2:
+        return values
+    ordered = np.sort(values)
+    return ordered[np.append(True, ordered[1:] != ordered[:-1])]
+
+
 def shingles(hashes: np.ndarray, k: int) -> np.ndarray:
     """Hashes of all runs of k successive words of one text; with fewer words, of the whole sequence."""
     if not len(hashes):

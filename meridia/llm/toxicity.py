@@ -5,9 +5,10 @@ and of their openings (abuse is inflected and compounded); the text's score is 1
 alone: the gradient of the noisy-or likelihood gives a positive text's credit to the sentences
 that explain it. Afterwards sentence scores say where a toxic text offends.
 
-Training reads at most `most` labelled texts, chosen by a hash of their id (a bounded sample,
-whole texts), on the driver as word hashes; scoring reads every row in place, without a shuffle.
-Only words that MIN_DOCS training texts share get a weight, so unseen words are neutral.
+Training reads at most `most` labelled texts of each label, chosen by a hash of their id (a
+bounded sample, whole texts), on the driver as word hashes by sentence, and weighs the two labels by
+their counts among all labels. Scoring reads every row in place, without a shuffle. Only
+features that MIN_DOCS training texts share get a weight, so unseen words are neutral.
 
 Null, empty and wordless texts get the score of an empty bag, the training share of toxic texts
 without words, or 0.0. Repeated rows are scored alike. With no labels of one kind every text gets the
@@ -26,9 +27,9 @@ from pyspark.sql import functions as F
 from . import text
 from .common import slices
 
-BITS, TRAIN, MIN_DOCS, EPOCHS, DECAY = 18, 8000, 4, 60, 1e-3
+BITS, TRAIN, MIN_DOCS, EPOCHS, DECAY = 18, 2000, 10, 100, 2e-4
 #: Bytes of a longer word's openings that are features.
-OPENINGS = (4, 5, 6, 7, 8)
+OPENINGS = (5, 6, 7)
 THRESHOLD, OFFENDING = 0.7, 0.5
 #: Bytes that end a sentence, and bytes between words: ASCII but letters and digits.
 END = np.zeros(256, bool)
@@ -51,7 +52,7 @@ def bags(col: pa.Array) -> tuple[np.ndarray, ...]:
     feature = (np.concatenate(hashes)[order] >> np.uint64(64 - BITS)).astype(np.int32)
     doc = np.searchsorted(offsets, starts, "right") - 1
     stops = np.flatnonzero(END[data]) + 1
-    bounds = np.unique(np.concatenate([offsets, stops]))
+    bounds = text.distinct(np.concatenate([offsets, stops]))
     sentence = np.searchsorted(bounds, starts, "right") - 1
     return doc, sentence, feature, bounds, data, offsets
 
@@ -69,32 +70,40 @@ class Model:
 
     def sentences(self, sentence: np.ndarray, feature: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The sentences that have words, and their logits."""
-        own, at = np.unique(sentence, return_inverse=True)
-        return own, np.bincount(at, weights=self.weights[feature], minlength=len(own)) + self.bias
+        pairs = np.sort(sentence.astype(np.int64) << BITS | feature)
+        number = pairs >> BITS
+        new = np.append(True, number[1:] != number[:-1])[: len(pairs)]
+        own = number[new]
+        return own, np.bincount(np.cumsum(new) - 1, weights=self.weights[pairs & (1 << BITS) - 1], minlength=len(own)) + self.bias
 
 
-def fit(doc: np.ndarray, sentence: np.ndarray, feature: np.ndarray, y: np.ndarray) -> Model:
-    """Maximise the noisy-or likelihood of bag labels y by Adam with weight decay, full batches."""
+def fit(owner: np.ndarray, row: np.ndarray, feature: np.ndarray, y: np.ndarray, weight: np.ndarray) -> Model:
+    """Maximise the weighted noisy-or likelihood of bag labels y by Adam with weight decay, full batches.
+
+    owner: the text of each sentence; row, feature: sentence and feature of each occurrence.
+    """
     n, size = len(y), 1 << BITS
-    if not len(doc) or y.min() == y.max():
-        return Model(np.zeros(size, np.float32), 0.0, float(y.mean()) if n else 0.0)
-    pairs = np.unique(doc.astype(np.int64) << BITS | feature)
-    common = np.bincount(pairs & (size - 1), minlength=size) >= MIN_DOCS
-    # words that are no feature only say that their sentence exists
-    own, at = np.unique(sentence, return_inverse=True)
-    owner = np.zeros(len(own), np.int64)
-    owner[at] = doc
-    used = common[feature]
-    ids, col = np.unique(feature[used], return_inverse=True)
-    row = at[used]
-    w, bias = np.zeros(len(ids)), float(np.log(max(y.mean(), 1e-3) / (len(own) / n)))
+    if not len(owner) or y.min() == y.max():
+        return Model(np.zeros(size, np.float32), 0.0, float((y * weight).sum()) if n else 0.0)
+    seen = np.zeros(size, np.int32)
+    cuts = np.searchsorted(owner[row], np.arange(n + 1))
+    for a, b in zip(cuts[:-1], cuts[1:]):
+        seen[text.distinct(feature[a:b])] += 1
+    used = seen[feature] >= MIN_DOCS
+    row, feature = row[used], feature[used]
+    ids = np.flatnonzero(seen >= MIN_DOCS)
+    place = np.zeros(size, np.int32)
+    place[ids] = np.arange(len(ids))
+    col = place[feature]
+    share = (y * weight).sum()
+    w, bias = np.zeros(len(ids)), float(np.log(max(share, 1e-3) / (len(owner) / n)))
     m, v, mb, vb = np.zeros(len(ids)), np.zeros(len(ids)), 0.0, 0.0
     for step in range(1, EPOCHS + 1):
-        z = np.bincount(row, weights=w[col], minlength=len(own)) + bias
+        z = np.bincount(row, weights=w[col], minlength=len(owner)) + bias
         p, log_not = _noisy_or(z, owner, n)
         none = np.exp(log_not)
-        credit = np.where(y > 0, none / np.maximum(1 - none, 1e-9), -1.0)  # of a text's sentences
-        pull = p * credit[owner] / n
+        credit = np.where(y > 0, none / np.maximum(1 - none, 1e-9), -1.0) * weight  # of a text's sentences
+        pull = p * credit[owner]
         g, gb = -np.bincount(col, weights=pull[row], minlength=len(ids)) + DECAY * w, -pull.sum()
         rate = 0.3 if step <= EPOCHS // 2 else 0.1
         m, v, mb, vb = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g, 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb * gb
@@ -106,30 +115,50 @@ def fit(doc: np.ndarray, sentence: np.ndarray, feature: np.ndarray, y: np.ndarra
     return Model(weights, bias)
 
 
+def _bag_rows(part: pa.RecordBatch) -> tuple[list[bytes], list[bytes]]:
+    """Of each text: (sentence, feature) pairs in order, sentences numbered from 0 among those with words."""
+    doc, sentence, feature, *_ = bags(part.column("text"))
+    rows, features = [], []
+    cuts = np.searchsorted(doc, np.arange(part.num_rows + 1))
+    for a, b in zip(cuts[:-1], cuts[1:]):
+        pairs = np.sort(sentence[a:b].astype(np.int64) << BITS | feature[a:b])
+        number = pairs >> BITS
+        rows.append((np.cumsum(np.append(0, number[1:] != number[:-1]))[: len(pairs)]).astype(np.int32).tobytes())
+        features.append((pairs & (1 << BITS) - 1).astype(np.int32).tobytes())
+    return rows, features
+
+
 def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN) -> Model:
     """Fit on labels (id, y) and docs (id, text); labels that the caller holds out are not passed."""
-    chosen = labels.where("y is not null and id is not null").groupBy("id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("id"), "id").limit(most)
+    known = labels.where("y is not null and id is not null").groupBy("id").agg(F.max("y").alias("y"))
+    total = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
+    chosen = None
+    for label in (0, 1):
+        part = known.where(F.col("y") == label).orderBy(F.xxhash64("id"), "id").limit(most)
+        chosen = part if chosen is None else chosen.unionByName(part)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                doc, sentence, feature, *_ = bags(part.column("text"))
-                cuts = np.searchsorted(doc, np.arange(part.num_rows + 1))
-                sentence = (sentence - (sentence[np.minimum(cuts[doc], len(doc) - 1)] if len(doc) else 0)).astype(np.int32)
-                cols = [pa.array([x[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:])], pa.binary()) for x in (sentence, feature)]
+                cols = [pa.array(x, pa.binary()) for x in _bag_rows(part)]
                 yield pa.RecordBatch.from_arrays([part.column("id"), part.column("y"), *cols], names=["id", "y", "sentence", "feature"])
 
-    # at most `most` rows: the side that is broadcast is bounded
+    # at most 2 * most rows: the side that is broadcast is bounded
     bag = docs.join(F.broadcast(chosen), "id").dropDuplicates(["id"]).select("id", "y", "text").mapInArrow(run, "id long, y int, sentence binary, feature binary")
     got = bag.toArrow().sort_by("id")
     y = got["y"].to_numpy().astype(float) if got.num_rows else np.zeros(0)
+    if not len(y):
+        return Model(np.zeros(1 << BITS, np.float32), 0.0, 0.0)
     sentences = [np.frombuffer(x, np.int32) for x in got["sentence"].to_pylist()]
-    features = [np.frombuffer(x, np.int32) for x in got["feature"].to_pylist()]
-    if not sentences:
-        return fit(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), y)
-    base = np.cumsum([0, *(int(x.max()) + 1 if len(x) else 0 for x in sentences)])
-    doc = np.repeat(np.arange(len(y)), [len(x) for x in sentences])
-    return fit(doc, np.concatenate(sentences) + base[doc], np.concatenate(features), y)
+    feature = np.concatenate([np.frombuffer(x, np.int32) for x in got["feature"].to_pylist()])
+    count = np.array([int(x[-1]) + 1 if len(x) else 0 for x in sentences])
+    base = np.cumsum(np.append(0, count))
+    row = np.concatenate([x + np.int32(b) for x, b in zip(sentences, base)])
+    del got, sentences
+    found = {label: max(1, int((y == label).sum())) for label in (0, 1)}
+    everything = sum(total.get(label, 0) for label in (0, 1)) or 1
+    weight = np.array([total.get(int(v), 0) / everything / found[int(v)] for v in y])
+    return fit(np.repeat(np.arange(len(y)), count), row, feature, y, weight / weight.sum())
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
