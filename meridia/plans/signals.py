@@ -1 +1,176 @@
-"""Queries to come."""
+"""Queries of the whole-signal transforms."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from meridia.catalog import query
+from meridia.operators import signal as G
+from meridia.operators.connectivity import band_of
+from meridia.plans.adapters import SAMPLES, samples, table
+
+
+def per_signal(df: DataFrame, kernel, ids: str = "channel") -> DataFrame:
+    """(channel, v array) of a kernel over (n, time) rows; df: channel, x (array). Arrow batches, equal lengths together."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            xs, out = batch.column("x").to_pylist(), [None] * batch.num_rows
+            for n in {len(x) for x in xs if x}:
+                at = [i for i, x in enumerate(xs) if x and len(x) == n]
+                for i, row in zip(at, kernel(np.array([xs[i] for i in at], float))):
+                    out[i] = row.ravel().tolist()
+            yield pa.RecordBatch.from_arrays([batch.column(ids), pa.array(out, pa.list_(pa.float64()))], names=[ids, "v"])
+
+    return df.select(ids, "x").mapInArrow(run, f"{ids} long, v array<double>")
+
+
+def _embeddings(spark, d):
+    return table(spark, d, "embeddings").select(F.col("vec_id").alias("channel"), F.col("embedding").alias("x"))
+
+
+def _long(df: DataFrame, name: str, value: str = "v", digits: int = 5) -> DataFrame:
+    return df.select("channel", F.posexplode("v").alias(name, value)).withColumn(value, F.round(value, digits) + 0.0)
+
+
+@query("cwt_freq_grid", "SELECT k AS scale, round(0.25 * power(0.01 / 0.25, k / 223.0::double), 8) AS freq_hz, round(6 / (2 * pi() * 0.25 * power(0.01 / 0.25, k / 223.0::double) * 0.8), 8) AS width FROM (SELECT unnest(range(224)) AS k)")
+def cwt_freq_grid(spark, d):
+    f = F.expr("0.25D * power(0.01D / 0.25D, id / 223D)")
+    return spark.range(224).select(F.col("id").alias("scale"), F.round(f, 8).alias("freq_hz"), F.round(6 / (2 * np.pi * f * 0.8), 8).alias("width"))
+
+
+_DFT = SAMPLES + """, bins AS (SELECT unnest(range(33))::int AS k), dft AS (SELECT channel, k, sum(x * cos(2 * pi() * k * t / 64)) AS re, -sum(x * sin(2 * pi() * k * t / 64)) AS im FROM samples CROSS JOIN bins GROUP BY ALL)
+"""
+
+
+@query("psd", _DFT + "SELECT channel, k, round((re * re + im * im) / 64, 5) + 0.0 AS power FROM dft")
+def psd(spark, d):
+    return _long(per_signal(_embeddings(spark, d), G.psd), "k", "power")
+
+
+@query("psd_mean_db", _DFT + ", p AS (SELECT k, (re * re + im * im) / 64 AS p FROM dft) SELECT k, round(10 * log10(avg(p)), 5) AS mean_db, round(10 / ln(10) * stddev_samp(p) / avg(p), 5) AS std_db FROM p GROUP BY k")
+def psd_mean_db(spark, d):
+    p = per_signal(_embeddings(spark, d), G.psd).select(F.posexplode("v").alias("k", "p"))
+    return p.groupBy("k").agg(F.round(10 * F.log10(F.avg("p")), 5).alias("mean_db"), F.round(10 / np.log(10) * F.stddev_samp("p") / F.avg("p"), 5).alias("std_db"))
+
+
+#: Scales of the query; the SQL convolves directly at the same ones.
+_QUERY_SCALES = (0, 100, 200)
+
+
+@query(
+    "cwt_power",
+    SAMPLES
+    + """, sc AS (SELECT k AS scale, 6 * 1.25 / (2 * pi() * 0.25 * power(0.01 / 0.25, k / 223.0::double)) AS s FROM (SELECT unnest([0, 100, 200]) AS k)),
+    kern AS (SELECT scale, s, j::int AS j, power(pi(), -0.25) / sqrt(s) * exp(-(j / s) * (j / s) / 2) AS g, 6 * j / s AS ph FROM sc CROSS JOIN (SELECT unnest(range(-63, 64)) AS j) WHERE abs(j) <= floor(4 * s))
+    SELECT a.channel, scale, a.t, round(power(sum(b.x * g * cos(ph)), 2) + power(sum(b.x * g * sin(ph)), 2), 5) + 0.0 AS power FROM samples a JOIN samples b USING (channel) JOIN kern ON j = a.t - b.t GROUP BY ALL""",
+)
+def cwt_power(spark, d):
+    freqs = G.cwt_grid()[list(_QUERY_SCALES)]
+    flat = per_signal(_embeddings(spark, d), lambda x: G.cwt_power(x, freqs)).select("channel", F.posexplode("v").alias("at", "power"))
+    scale = F.element_at(F.array(*map(F.lit, _QUERY_SCALES)), F.expr("int(at div 64) + 1"))
+    return flat.select("channel", scale.alias("scale"), F.expr("int(at % 64)").alias("t"), (F.round("power", 5) + 0.0).alias("power"))
+
+
+_ANALYTIC = _DFT + """, w AS (SELECT channel, k, re, im, CASE WHEN k = 0 OR k = 32 THEN 1 ELSE 2 END AS h FROM dft),
+z AS (SELECT channel, t, sum(h * (re * cos(2 * pi() * k * t / 64) - im * sin(2 * pi() * k * t / 64))) / 64 AS a, sum(h * (re * sin(2 * pi() * k * t / 64) + im * cos(2 * pi() * k * t / 64))) / 64 AS b FROM w CROSS JOIN (SELECT unnest(range(64))::int AS t) GROUP BY ALL),
+env AS (SELECT channel, t, sqrt(a * a + b * b) AS e FROM z),
+steps AS (SELECT channel, t, a, b, lag(a) OVER w AS pa, lag(b) OVER w AS pb FROM z WINDOW w AS (PARTITION BY channel ORDER BY t)),
+freq0 AS (SELECT channel, t, atan2(b * pa - a * pb, a * pa + b * pb) * 1.25 / (2 * pi()) AS f FROM steps),
+freq AS (SELECT channel, t, coalesce(f, lead(f) OVER (PARTITION BY channel ORDER BY t)) AS f FROM freq0)
+"""
+
+
+@query("hilbert_envelope", _ANALYTIC + "SELECT channel, t, round(e, 5) AS envelope FROM env")
+def hilbert_envelope(spark, d):
+    return _long(per_signal(_embeddings(spark, d), G.envelope), "t", "envelope")
+
+
+@query("inst_freq", _ANALYTIC + "SELECT channel, t, round(f, 4) + 0.0 AS freq_hz FROM freq")
+def inst_freq(spark, d):
+    return _long(per_signal(_embeddings(spark, d), G.inst_freq), "t", "freq_hz", 4)
+
+
+@query("envelope_normalize", _ANALYTIC + "SELECT channel, t, round(ln(1 + e) / (max(ln(1 + e)) OVER (PARTITION BY channel) + 1e-12), 5) AS envelope FROM env")
+def envelope_normalize(spark, d):
+    return _long(per_signal(_embeddings(spark, d), lambda x: (lambda e: e / (e.max(-1, keepdims=True) + 1e-12))(np.log1p(G.envelope(x)))), "t", "envelope")
+
+
+def _decompose(noise: int):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("channel")
+        _, freqs, n = G.mvmd(np.stack(pdf["x"].to_numpy()).astype(float), modes=4, most=120, noise=noise)
+        return pd.DataFrame({"run": pdf["run"].iloc[0], "mode": np.arange(len(freqs)), "center_freq_hz": np.round(freqs, 6), "iterations": n})
+
+    return run
+
+
+def _runs(spark, d):
+    """Runs of eight channels; a label's embeddings by position in hash groups of about that size."""
+    e = table(spark, d, "embeddings").select(F.expr("concat(label, ':', vec_id div 80)").alias("run"), F.col("vec_id").alias("channel"), F.col("embedding").alias("x"))
+    return e
+
+
+@query("mvmd_center_freq")
+def mvmd_center_freq(spark, d):
+    return _runs(spark, d).groupBy("run").applyInPandas(_decompose(0), "run string, mode int, center_freq_hz double, iterations int")
+
+
+@query("na_mvmd_center_freq")
+def na_mvmd_center_freq(spark, d):
+    return _runs(spark, d).groupBy("run").applyInPandas(_decompose(1), "run string, mode int, center_freq_hz double, iterations int")
+
+
+@query(
+    "log_bin_map",
+    """WITH f AS (SELECT vec_id, 0.01 + 0.24 * (vec_id % 97) / 97.0::double AS f FROM embeddings), bins AS (SELECT k, 0.01 * power(25, k / 15.0::double) AS b FROM (SELECT unnest(range(16)) AS k))
+    SELECT vec_id, arg_min(k, (round(abs(f - b), 10), k)) AS bin FROM f CROSS JOIN bins GROUP BY ALL""",
+)
+def log_bin_map(spark, d):
+    f = table(spark, d, "embeddings").select("vec_id", F.expr("0.01D + 0.24D * (vec_id % 97) / 97D").alias("f"))
+    each = F.transform(F.sequence(F.lit(0).cast("long"), F.lit(15).cast("long")), lambda k: F.struct(F.round(F.abs(F.col("f") - 0.01 * F.pow(F.lit(25.0), k / 15)), 10).alias("gap"), k.alias("k")))
+    return f.select("vec_id", F.array_min(each)["k"].alias("bin"))
+
+
+_SPECTRUM = _ANALYTIC + """, band AS (SELECT (channel // 2) AS signal, e.t, e, round(f, 9) AS f FROM env e JOIN freq USING (channel, t) WHERE round(f, 9) >= greatest(0.01, 1.25 / 64) AND round(f, 9) < 0.25),
+spec AS (SELECT signal, t, greatest(least(round_even(223 * (ln(f) - ln(0.25)) / ln(0.01 / 0.25), 0), 223), 0)::int AS bin, max(e) AS h FROM band GROUP BY ALL)
+"""
+
+
+def _spectrum(spark, d):
+    """signal, t, bin, h: the largest envelope of a signal's two modes in each log-frequency bin."""
+    both = per_signal(_embeddings(spark, d), lambda x: np.stack([G.envelope(x), G.inst_freq(x)], 1))
+    flat = both.select("channel", F.posexplode(F.arrays_zip(F.slice("v", 1, 64).alias("e"), F.slice("v", 65, 64).alias("f"))).alias("t", "p"))
+    rows = flat.select(F.expr("channel div 2").alias("signal"), "t", F.col("p.e").alias("e"), F.round("p.f", 9).alias("f")).where("f >= greatest(0.01D, 1.25D / 64) and f < 0.25D")
+    at = F.bround(F.expr("223 * (ln(f) - ln(0.25D)) / ln(0.01D / 0.25D)"), 0)
+    return rows.groupBy("signal", "t", F.greatest(F.least(at, F.lit(223)), F.lit(0)).cast("int").alias("bin")).agg(F.max("e").alias("h"))
+
+
+@query("hht_spectrum", _SPECTRUM + "SELECT signal, t, bin, round(h, 5) AS h FROM spec")
+def hht_spectrum(spark, d):
+    return _spectrum(spark, d).select("signal", "t", "bin", F.round("h", 5).alias("h"))
+
+
+@query("instantaneous_energy", _SPECTRUM + "SELECT signal, t, round(sum(h * h), 4) AS energy FROM spec GROUP BY ALL")
+def instantaneous_energy(spark, d):
+    return _spectrum(spark, d).groupBy("signal", "t").agg(F.round(F.sum(F.col("h") * F.col("h")), 4).alias("energy"))
+
+
+@query("freq_smooth", SAMPLES + "SELECT channel, t, round(sum(x) OVER (PARTITION BY channel ORDER BY t ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) / 5, 6) + 0.0 AS v FROM samples")
+def freq_smooth(spark, d):
+    """Moving average of width 5 with zero padding: the divisor is always the width."""
+    w = Window.partitionBy("channel").orderBy("t").rowsBetween(-2, 2)
+    return samples(spark, d).select("channel", "t", (F.round(F.sum("x").over(w) / 5, 6) + 0.0).alias("v"))
+
+
+@query("band_scales", "WITH g AS (SELECT k, 0.25 * power(0.01 / 0.25, k / 223.0::double) AS f FROM (SELECT unnest(range(224)) AS k)) SELECT CASE WHEN f >= 0.01 AND f < 0.027 THEN 'slow_5' WHEN f >= 0.027 AND f < 0.073 THEN 'slow_4' WHEN f >= 0.073 AND f < 0.198 THEN 'slow_3' WHEN f >= 0.198 AND f < 0.25 THEN 'slow_2_trunc' END AS band, min(k) AS first, max(k) AS last FROM g WHERE f >= 0.01 AND f < 0.25 GROUP BY 1")
+def band_scales(spark, d):
+    """First and last scale of each slow band on the wavelet grid."""
+    g = spark.range(224).withColumn("f", F.expr("0.25D * power(0.01D / 0.25D, id / 223D)")).withColumn("band", band_of(F.col("f")))
+    return g.where("band is not null").groupBy("band").agg(F.min("id").alias("first"), F.max("id").alias("last"))
