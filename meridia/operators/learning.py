@@ -32,7 +32,7 @@ def balanced(df: DataFrame, key: str, label: str, seed: int = SEED) -> DataFrame
     train = df.where("split = 'train'")
     least = train.groupBy(label).count().agg(F.min("count")).scalar()
     rank = F.row_number().over(Window.partitionBy(label).orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))), key))
-    return train.where(rank <= least).unionByName(df.where("split <> 'train'"))
+    return train.withColumn("_rank", rank).where(F.col("_rank") <= least).drop("_rank").unionByName(df.where("split <> 'train'"))
 
 
 def distances(q: np.ndarray, x: np.ndarray, metric: str) -> np.ndarray:

@@ -68,7 +68,7 @@ def quantize_onehot(spark, d):
     "image_pad_norm",
     SAMPLES
     + """, g AS (SELECT channel, t, (x - min(x) OVER w) / (max(x) OVER w - min(x) OVER w + 1e-8) AS v FROM samples WINDOW w AS (PARTITION BY channel)), p AS (SELECT c.channel, t.t, coalesce(v, 0) AS v FROM (SELECT DISTINCT channel FROM g) c CROSS JOIN (SELECT unnest(range(224))::int AS t) t LEFT JOIN g ON g.channel = c.channel AND g.t = t.t)
-    SELECT channel, t, round((v - 0.485) / 0.229, 5) AS r, round((v - 0.456) / 0.224, 5) AS g, round((v - 0.406) / 0.225, 5) AS b FROM p""",
+    SELECT channel, t, round((v - 0.485) / 0.229, 5) + 0.0 AS r, round((v - 0.456) / 0.224, 5) + 0.0 AS g, round((v - 0.406) / 0.225, 5) + 0.0 AS b FROM p""",
 )
 def image_pad_norm(spark, d):
     """Rows scaled to 0..1, zero-padded to 224 and normalised by colour channel."""
@@ -76,7 +76,7 @@ def image_pad_norm(spark, d):
     s = samples(spark, d).withColumn("v", (F.col("x") - F.min("x").over(w)) / (F.max("x").over(w) - F.min("x").over(w) + 1e-8))
     packed = s.groupBy("channel").agg(F.transform(F.array_sort(F.collect_list(F.struct("t", "v"))), lambda e: e["v"]).alias("v"))
     padded = packed.select("channel", F.posexplode(F.concat("v", F.array_repeat(F.lit(0.0), 224 - 64))).alias("t", "v"))
-    return padded.select("channel", "t", *[F.round((F.col("v") - m) / s, 5).alias(n) for n, m, s in zip("rgb", G.MEAN.tolist(), G.STD.tolist())])
+    return padded.select("channel", "t", *[(F.round((F.col("v") - m) / s, 5) + 0.0).alias(n) for n, m, s in zip("rgb", G.MEAN.tolist(), G.STD.tolist())])
 
 
 @query("image_resize")
