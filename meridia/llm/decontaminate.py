@@ -115,7 +115,7 @@ def _find(send, threshold: float):
         for batch in batches:
             for part in slices(batch, "text"):
                 hashes, bounds = word_hashes(part.column("text"))
-                ids = part.column("id").to_numpy(zero_copy_only=False)
+                ids = part.column("id").to_pylist()
                 hits = list(_windows(items, hashes, bounds))
                 rows = []
                 for item, doc, start in hits:
@@ -129,12 +129,12 @@ def _find(send, threshold: float):
                         window = np.where(inside, hashes[np.clip(at, 0, len(hashes) - 1)], np.uint64(0))
                         score, end = align(words, window)
                         share = score / (MATCH * len(words))
-                        rows += [(int(ids[i]), int(items.ids[item]), float(v), int(e)) for i, v, e in zip(d[share >= threshold], share[share >= threshold], (s + end - bounds[d])[share >= threshold])]
+                        rows += [(int(i), int(items.ids[item]), float(v), int(e)) for i, v, e in zip(d[share >= threshold], share[share >= threshold], (s + end - bounds[d])[share >= threshold])]
                 best: dict[tuple[int, int], tuple[float, int]] = {}
                 for doc, item, v, e in rows:
                     if v > best.get((doc, item), (0.0, 0))[0]:
                         best[doc, item] = v, e
-                cols = [[k[0] for k in best], [k[1] for k in best], [v[0] for v in best.values()], [v[1] for v in best.values()]]
+                cols = [[ids[k[0]] for k in best], [k[1] for k in best], [v[0] for v in best.values()], [v[1] for v in best.values()]]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.float64(), pa.int64()))], names=["id", "item_id", "score", "end_word"])
 
     return run

@@ -153,9 +153,9 @@ class SumOfSquares:
     def best(self, size: int) -> int:
         """The level whose sequence should take size tokens; 0: a new one. Ties go to the fullest."""
         n, top = self.level, self.length - size
-        gain = n[size : self.length + 1] - n[: top + 1]  # half the change of the sum of squares, less a constant
-        gain[top] -= 1  # a sequence that becomes full leaves the sum: one unit of squares less
-        gain[0] = n[size] - 1
+        gain = 2 * (n[size : self.length + 1] - n[: top + 1])  # the change of the sum of squares, less 2
+        gain[top] -= 1  # a full sequence is not counted
+        gain[0] = 2 * n[size] - 1
         used = np.flatnonzero(n[: top + 1])
         if not len(used):
             return 0

@@ -51,7 +51,7 @@ def buffer(col: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     if isinstance(col, pa.ChunkedArray):
         col = col.combine_chunks()
         col = pa.concat_arrays(col.chunks) if isinstance(col, pa.ChunkedArray) else col
-    col = col.fill_null("").cast(pa.large_string())
+    col = col.cast(pa.large_string()).fill_null("")
     if not len(col):
         return np.zeros(0, np.uint8), np.zeros(1, np.int64)
     _, off, data = col.buffers()

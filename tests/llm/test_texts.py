@@ -1,0 +1,120 @@
+"""Language ID, toxicity and personal data."""
+
+import random
+import re
+import zlib
+
+import numpy as np
+
+from meridia.llm import language, pii, toxicity
+
+SOUNDS = {"en": ["th", "ing", "er", "and", "ou"], "de": ["sch", "ein", "ung", "ich", "ö"], "fr": ["eau", "é", "ou", "tion", "ç"]}
+
+
+def prose(rng, lang, n):
+    return " ".join("".join(rng.choice(SOUNDS[lang]) for _ in range(rng.randint(1, 3))) for _ in range(n))
+
+
+def test_language(spark):
+    rng = random.Random(1)
+    rows = []
+    for i in range(240):
+        lang = rng.choice(list(SOUNDS))
+        rows.append((i, prose(rng, lang, 60), lang if i % 7 else None, f"www.site{i % 5}.{lang}", lang))
+    rows += [(900, None, "en", "www.site1.en", "en"), (901, "", "fr", None, "fr"), (902, "12 34", None, None, None), (903, prose(rng, "de", 30_000), None, "new.de", "de"), (904, prose(rng, "fr", 2), "fr", "www.site1.fr", "fr")]
+    rows.append(rows[0])
+    df = spark.createDataFrame([(*r[:4], 1.0, "x") for r in rows], "doc_id long, text string, lang string, source string, prior double, host string")
+    got = language.identify(df).collect()
+    assert len(got) == len(rows)
+    by = {r.doc_id: r for r in got}
+    for i, text, _, _, true in rows:
+        if text and i not in (902,):
+            assert by[i].lang == true and by[i].kept and 0.5 <= by[i].posterior <= 1
+    assert not any(by[i].kept for i in (900, 901, 902))
+    assert by[900].text_lang is None and by[900].n_trigrams == 0
+    assert language.identify(df.where("doc_id < 0")).collect() == []
+
+
+def test_host_and_declared_tag_decide_without_text(spark):
+    rng = random.Random(2)
+    rows = [(i, prose(rng, "de" if i % 2 else "fr", 40), "de" if i % 2 else "fr", "a.de" if i % 2 else "a.fr") for i in range(80)]
+    rows += [(100, "", "de", "a.de"), (101, "", "fr", "a.fr"), (102, None, None, "other.de")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    by = {r.doc_id: r.lang for r in language.identify(df).collect()}
+    assert (by[100], by[101], by[102]) == ("de", "fr", "de")
+
+
+def test_toxicity_locates_sentences(spark):
+    rng = random.Random(3)
+    neutral = ["".join(rng.choice("abcdefghijk") for _ in range(5)) for _ in range(200)]
+    rows, labels = [], []
+    for i in range(900):
+        sentences = [" ".join(rng.choice(neutral) for _ in range(8)) + "." for _ in range(rng.randint(1, 8))]
+        bad = i % 5 == 0
+        if bad:
+            sentences.insert(rng.randint(0, len(sentences)), "you awful zzyzx " + rng.choice(neutral) + "!")
+        rows.append((i, " ".join(sentences)))
+        labels.append((i, int(bad)))
+    rows += [(2000, None), (2001, ""), (2002, "... !"), (2003, rows[0][1]), (2004, "word " * 30_000), (0, rows[0][1])]
+    docs = spark.createDataFrame([(*r, 0.5) for r in rows], "doc_id long, text string, score double")
+    marks = spark.createDataFrame(labels + [(0, 1), (5000, None)], "doc_id long, toxic int")
+    got = toxicity.toxicity(docs, marks).collect()
+    assert len(got) == len(rows)
+    by, text, y = {r.doc_id: r for r in got}, dict(rows), dict(labels)
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) and 0 <= r.score <= 1 and r.predicted == (r.score >= 0.7) for r in got)
+    held = [r for r in got if r.held_out and r.doc_id in y]
+    assert np.mean([r.predicted == y[r.doc_id] for r in held]) > 0.97
+    for r in held:
+        if r.predicted and y[r.doc_id]:
+            assert "zzyzx" in text[r.doc_id][r.worst_start : r.worst_end] and r.n_offending >= 1
+    assert by[2000].score == by[2001].score == by[2002].score and by[2003].score == by[0].score
+    none = toxicity.toxicity(docs, marks.where("toxic = 0")).collect()
+    assert {r.score for r in none} == {0.0}
+    assert toxicity.toxicity(docs.where("doc_id < 0"), marks).collect() == []
+
+
+PATTERNS = [("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]")]
+
+
+def brute(text):
+    out = []
+    for kind, pattern in PATTERNS:
+        for m in re.finditer(pattern, text):
+            digits = re.sub("[^0-9]", "", m[0])
+            good = {"email": True, "ip": kind != "ip" or all(int(x) <= 255 for x in m[0].split(".")), "card": 13 <= len(digits) <= 19 and pii.luhn(digits), "phone": 9 <= len(digits) <= 15}[kind]
+            if good:
+                out.append((kind, *m.span()))
+    return out
+
+
+def test_base_spans_equal_the_patterns():
+    rng = random.Random(4)
+    for alphabet, n in (("a1.@-+ 2", 24), ("1234567890 -.+()", 60), ("0é1@.", 20)):
+        for _ in range(6000):
+            t = "".join(rng.choice(alphabet) for _ in range(rng.randint(0, n)))
+            assert pii.base_spans(t) == brute(t)
+    assert pii.luhn("4111111111111111") and not pii.luhn("4111111111111112")
+    assert pii.base_spans("a" * 200_000 + " " + "1" * 200_000) == []  # in linear time
+
+
+def test_contexts_find_unseen_identifiers(spark):
+    def card(k):
+        digits = f"4{k:014d}"
+        return next(digits + str(c) for c in range(10) if pii.luhn(digits + str(c)))
+
+    rows = [(i, f"text {i % 7} here\npay card {card(i * 7919)} today") for i in range(40)]
+    wrong = card(5)[:-1] + str((int(card(5)[-1]) + 1) % 10)
+    rows += [(100, f"pay card {wrong} today"), (101, f"the 1234567890123457 count {'ab12' * 9} end"), (102, None), (103, ""), (104, rows[0][1]), (0, "no data"), (105, "a b@c.de 10.0.0.1 or +1 (212) 555-0100 as " + "w " * 50_000)]
+    df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, spans string")
+    got = pii.personal_data(df).collect()
+    assert len(got) == len(rows)
+    by = {}
+    for r in got:
+        by.setdefault(r.doc_id, []).append(r)
+    assert by[100][0].spans == "id:9:25" and by[100][0].n_card == 0
+    assert by[101][0].spans.startswith("secret:") and "id:" not in by[101][0].spans
+    assert by[102][0].spans == "" and by[103][0].n_found == 0
+    assert sorted(r.spans for r in by[0]) == sorted(["", by[104][0].spans])
+    r = by[105][0]
+    assert (r.n_email, r.n_ip, r.n_card, r.n_phone) == (1, 1, 0, 1) and r.spans.startswith("email:2:8,ip:")
+    assert pii.personal_data(df.where("doc_id < 0")).collect() == []
