@@ -114,13 +114,14 @@ def drop_lines(value: str, spans: list) -> str:
     gone = np.zeros(value.count("\n") + 2, bool)
     for span in spans:
         gone[span["first"] : span["stop"]] = True
-    kept, number = [], 0
+    kept, number, left = [], 0, 0
     for line in value.split("\n"):
         blank = not line.strip(" \t\n\v\f\r")
         if blank or not gone[number]:
             kept.append(line)
+            left += not blank
         number += not blank
-    return "\n".join(kept)
+    return "\n".join(kept) if left else ""
 
 
 @F.pandas_udf(StringType())
