@@ -13,14 +13,15 @@ _W = "OVER (PARTITION BY subject, channel)"
 
 
 def _with(column):
-    return lambda spark, d: series(spark, d).select("subject", "channel", "t", F.round(column, 6).alias("v"))
+    """A query of the column that column() makes; columns can only be made while a session is up."""
+    return lambda spark, d: series(spark, d).select("subject", "channel", "t", F.round(column(), 6).alias("v"))
 
 
-query("zscore_sample", SERIES + f"SELECT subject, channel, t, round(CASE WHEN stddev_samp(x) {_W} < 1e-15 THEN x - avg(x) {_W} ELSE (x - avg(x) {_W}) / stddev_samp(x) {_W} END, 6) AS v FROM series")(_with(S.zscore("x", BY)))
-query("zscore_voxel", SERIES + f"SELECT subject, channel, t, round(CASE WHEN stddev_samp(x) {_W} < 1e-15 THEN x ELSE (x - avg(x) {_W}) / stddev_samp(x) {_W} END, 6) AS v FROM series")(_with(S.zscore("x", BY, keep_constant=True)))
-query("psc", SERIES + f"SELECT subject, channel, t, round(CASE WHEN abs(avg(x) {_W}) < 1e-15 THEN 0 ELSE (x - avg(x) {_W}) / abs(avg(x) {_W}) * 100 END, 6) AS v FROM series")(_with(S.percent_change("x", BY)))
+query("zscore_sample", SERIES + f"SELECT subject, channel, t, round(CASE WHEN stddev_samp(x) {_W} < 1e-15 THEN x - avg(x) {_W} ELSE (x - avg(x) {_W}) / stddev_samp(x) {_W} END, 6) AS v FROM series")(_with(lambda: S.zscore("x", BY)))
+query("zscore_voxel", SERIES + f"SELECT subject, channel, t, round(CASE WHEN stddev_samp(x) {_W} < 1e-15 THEN x ELSE (x - avg(x) {_W}) / stddev_samp(x) {_W} END, 6) AS v FROM series")(_with(lambda: S.zscore("x", BY, keep_constant=True)))
+query("psc", SERIES + f"SELECT subject, channel, t, round(CASE WHEN abs(avg(x) {_W}) < 1e-15 THEN 0 ELSE (x - avg(x) {_W}) / abs(avg(x) {_W}) * 100 END, 6) AS v FROM series")(_with(lambda: S.percent_change("x", BY)))
 query("detrend", SERIES + f"SELECT subject, channel, t, round(x - (regr_intercept(x, t) {_W} + regr_slope(x, t) {_W} * t), 6) + 0.0 AS v FROM series")(lambda spark, d: series(spark, d).select("subject", "channel", "t", (F.round(S.detrended("x", "t", BY), 6) + 0.0).alias("v")))
-query("minmax", SERIES + f"SELECT subject, channel, t, round((x - min(x) {_W}) / (max(x) {_W} - min(x) {_W} + 1e-8), 6) AS v FROM series")(_with(S.minmax("x", BY)))
+query("minmax", SERIES + f"SELECT subject, channel, t, round((x - min(x) {_W}) / (max(x) {_W} - min(x) {_W} + 1e-8), 6) AS v FROM series")(_with(lambda: S.minmax("x", BY)))
 
 
 @query("preprocess", SERIES + f", d AS (SELECT *, x - (regr_intercept(x, t) {_W} + regr_slope(x, t) {_W} * t) AS y FROM series) SELECT subject, channel, t, round(CASE WHEN stddev_samp(y) {_W} < 1e-9 THEN 0 ELSE (y - avg(y) {_W}) / stddev_samp(y) {_W} END, 5) + 0.0 AS v FROM d")
