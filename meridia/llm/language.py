@@ -100,7 +100,7 @@ def train(rows: DataFrame, most: int = SAMPLE) -> Model:
     return Model(names, counts)
 
 
-def _sums(by: list[str], n: int) -> list[Column]:
+def _sums(n: int) -> list[Column]:
     return [F.array(*[F.round(F.sum(F.col("p")[i]), 6) for i in range(n)]).alias("c"), F.count("*").cast("double").alias("rows")]
 
 
@@ -128,7 +128,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", de
     seen = cut(rows.mapInArrow(run, "id long, declared string, host string, p array<double>, n long"))
     domain, suffix = levels(F.col("host"))
     spoke = seen.where("n > 0")
-    hosts = spoke.groupBy("host").agg(*_sums(["host"], size)).select("host", domain.alias("domain"), suffix.alias("suffix"), "c", "rows")
+    hosts = spoke.groupBy("host").agg(*_sums(size)).select("host", domain.alias("domain"), suffix.alias("suffix"), "c", "rows")
     fold = F.array(*[F.sum(F.col("c")[i]) for i in range(size)]).alias("c")
     up = [fold, F.sum("rows").alias("rows")]
     equal = F.array(*[F.lit(1 / size)] * size)
@@ -136,19 +136,19 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", de
     def shrunk(prior: str, own: str = "c", n: str = "rows") -> Column:
         return F.expr(f"zip_with({own}, {prior}, (c, q) -> (c + {STRENGTH}D * q) / ({n} + {STRENGTH}D))")
 
-    whole = spoke.groupBy().agg(*_sums([], size)).select(F.when(F.col("rows") > 0, F.expr("transform(c, x -> (x + 1) / (rows + size(c)))")).otherwise(equal).alias("q")).scalar()
+    whole = spoke.groupBy().agg(*_sums(size)).select(F.when(F.col("rows") > 0, F.expr("transform(c, x -> (x + 1) / (rows + size(c)))")).otherwise(equal).alias("q")).scalar()
     spoken = F.create_map(*[F.lit(x) for pair in COUNTRY.items() for x in pair])
     says = F.try_element_at(spoken, F.col("suffix"))
     nation = F.array(*[F.when(says.isNull() | ~says.isin(names), F.col("q")[i]).otherwise((says == name).cast("double")) for i, name in enumerate(names)])
     s = hosts.groupBy("suffix").agg(*up).withColumn("q", whole).withColumn("q", F.zip_with(F.col("q"), nation, lambda a, b: (a + b) / 2)).select("suffix", shrunk("q").alias("qs"))
     d = hosts.groupBy("domain", "suffix").agg(*up).join(s, "suffix").select("domain", "suffix", shrunk("qs").alias("qd"))
     h = hosts.join(d, ["domain", "suffix"]).select("host", "c", F.col("rows").alias("of"), "qd")
-    told = spoke.groupBy("declared").agg(*_sums(["declared"], size)).select("declared", F.col("c").alias("told"))
+    told = spoke.groupBy("declared").agg(*_sums(size)).select("declared", F.col("c").alias("told"))
     out = seen.join(h, "host", "left").join(told, "declared", "left")
     own = "zip_with(c, p, (c, x) -> greatest(0D, c - if(n > 0, x, 0D)))"
     out = out.withColumn("prior", F.coalesce(shrunk("qd", own, "greatest(0D, of - if(n > 0, 1D, 0D))"), whole))
     # P(declared | language): the tag's counts over the language's, own share left out
-    totals = F.coalesce(spoke.groupBy().agg(*_sums([], size)).select("c").scalar(), equal)
+    totals = F.coalesce(spoke.groupBy().agg(*_sums(size)).select("c").scalar(), equal)
     out = out.withColumn("all", totals).withColumn("told", F.coalesce("told", F.array(*[F.lit(0.0)] * size)))
     out = out.withColumn("likely", F.expr("zip_with(zip_with(told, p, (c, x) -> greatest(0D, c - if(n > 0, x, 0D)) + 0.5D), all, (c, a) -> c / (a + 1D))"))
     joint = F.zip_with(F.zip_with("prior", "likely", lambda a, b: a * b), "p", lambda a, b: a * b)
