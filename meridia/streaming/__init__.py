@@ -1 +1 @@
-"""Streaming of the engine."""
+"""Streaming: the study has no unbounded inputs; runs arrive as files and are picked up by sources.lake.missing()."""
