@@ -102,8 +102,10 @@ def _same(a: str, b: str) -> str:
 def repeated_spans(docs: DataFrame, gram: int = GRAM, window: int = WINDOW) -> DataFrame:
     """docs (id, text) to spans (doc, first, stop) of non-blank lines that repeat earlier ones."""
     prints = cut(docs.where("text is not null and id is not null").mapInArrow(_prints(gram, window), _PRINTS))
-    firsts = prints.groupBy("key").agg(F.min(F.struct("doc", "pos")).alias("at"), F.count("*").alias("rows")).where("rows > 1")
-    known = prints.join(firsts, "key").where("doc = at.doc and pos = at.pos").groupBy("key").agg(F.min(F.struct("doc", "pos", "before", "after")).alias("f"))
+    # minima are combined before the shuffle; the table of keys that repeat is written, so that the join below
+    # reads both sides from exchanges of its own and a hot key's rows can be split (or the table is broadcast, if small)
+    first = F.min(F.struct("doc", "pos", "before", "after")).alias("f")
+    known = cut(prints.groupBy("key").agg(first, F.count("*").alias("rows")).where("rows > 1").drop("rows"))
     later = prints.join(known, "key").where("doc > f.doc or doc = f.doc and pos > f.pos")
     back, on = _same("before", "f.before"), _same("after", "f.after")
     return later.select("doc", F.expr(f"cast(pos - {back} as int)").alias("first"), F.expr(f"cast(pos + len + {on} as int)").alias("stop"))
