@@ -247,7 +247,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     final = components(links)
     # 3. back to the documents, through their classes
     named = classes.join(final.select(F.col("node").alias("rep"), "label"), "rep", "left").where("copies > 1 or label is not null")
-    named = named.select("k1", "k2", "n", F.coalesce("label", "rep").alias("label"))
+    # written, so that the join reads both sides from exchanges of its own and a hot class can be split
+    named = cut(named.select("k1", "k2", "n", F.coalesce("label", "rep").alias("label")))
     out = seen.select("id", "n", "k1", "k2").join(named, ["k1", "k2", "n"], "left")
     comp = F.coalesce("label", "id")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), comp.alias("component_id"), (comp == F.col("id")).alias("kept"))
