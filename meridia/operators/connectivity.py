@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,22 +35,32 @@ def edges(series: DataFrame, keys: list[str], diagonal: bool = True) -> DataFram
 
 
 def edges_gram(runs: DataFrame, keys: list[str], schema: str) -> DataFrame:
-    """edges() by one Gram matrix a run, for runs of many channels: rows keys, channel, x (array)."""
-
-    def gram(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("channel")
-        x = np.stack(pdf["x"].to_numpy()).astype(float)
-        x -= x.mean(1, keepdims=True)
-        sd = np.sqrt((x * x).mean(1))
-        with np.errstate(invalid="ignore", divide="ignore"):
-            r = x @ x.T / x.shape[1] / np.outer(sd, sd)
-        i, j = np.triu_indices(len(x))
-        r = np.where(np.minimum(sd[i], sd[j]) > 0, r[i, j], np.nan)
-        ch = pdf["channel"].to_numpy()
-        out = {k: [pdf[k].iloc[0]] * len(i) for k in keys}
-        return pd.DataFrame(out | {"i": ch[i], "j": ch[j], "pearson": r, "fisher_z": np.arctanh(np.clip(r, -0.9999, 0.9999))})
-
-    return runs.groupBy(*keys).applyInPandas(gram, schema)
+    """edges() by one Gram matrix a run, for runs of many channels: rows keys, channel, x (array).
+
+    A run's channels are gathered in one row; Arrow batches then hold many runs, so a small run costs
+    no call of its own.
+    """
+    packed = runs.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("channel", "x"))).alias("c"))
+
+    def gram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts = []
+            for c in batch.column("c"):
+                channel = c.values.field("channel").to_numpy(zero_copy_only=False)
+                x = np.array(c.values.field("x").to_pylist(), float)
+                x -= x.mean(1, keepdims=True)
+                sd = np.sqrt((x * x).mean(1))
+                i, j = np.triu_indices(len(x))
+                both = sd[i] * sd[j]
+                r = np.divide((x @ x.T)[i, j] / x.shape[1], both, out=np.full(len(i), np.nan), where=both > 0)
+                parts.append((channel[i], channel[j], r))
+            if parts:
+                i, j, r = map(np.concatenate, zip(*parts))
+                of = pa.array(np.repeat(np.arange(batch.num_rows), [len(p[0]) for p in parts]))
+                cols = [batch.column(k).take(of) for k in keys] + [pa.array(i), pa.array(j), pa.array(r), pa.array(np.arctanh(np.clip(r, -0.9999, 0.9999)))]
+                yield pa.RecordBatch.from_arrays(cols, names=[*keys, "i", "j", "pearson", "fisher_z"])
+
+    return packed.mapInArrow(gram, schema)
 
 
 def band_of(freq: Column) -> Column:
