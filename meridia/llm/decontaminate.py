@@ -1,15 +1,15 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman word alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman word alignment.
 
-Words are runs of letters and digits, A-Z lowered. One pass over all texts counts in how many
-of them each of the items' n-grams occurs; the rarer half of an item's n-grams are its seeds. A
-second pass finds the seeds in each text, opens a window around each diagonal that they lie on
-and aligns it with the item (match 2, mismatch -1, gap -1). The score is the alignment's
-value over that of the whole item; hits reach THRESHOLD.
+Words are runs of letters and digits, A-Z lowered. All n-grams of an item are its seeds, frequent
+ones too: an edited copy may have no others left. One pass finds the seeds in each text and opens
+a window around each diagonal that they lie on. A hit needs THRESHOLD of the item's words as matches,
+so windows with fewer of its words go; the others are aligned with the item (match 2, mismatch -1,
+gap -1). The score is the alignment's value over that of the whole item; hits reach THRESHOLD.
 
 The test items are the stated query set. They are taken in blocks of at most BLOCK_WORDS words, and
 each block is sent to every task: what is broadcast has that bound whatever the benchmark's
 size. Texts are never shuffled or collected, so frequent passages make no hot key, and every window
-of every text is aligned.
+of every text that can reach THRESHOLD is aligned.
 
 Null and empty texts have no hits. Items without words match nothing; those with fewer than N words
 have their whole sequence as the only seed. Repeated rows give repeated hits; a text and an item give
@@ -56,15 +56,12 @@ class Items:
         hashes, bounds = word_hashes(texts)
         self.words = [hashes[a:b] for a, b in zip(bounds[:-1], bounds[1:])]
         found = [(min(n, len(w)), g, i, q) for i, w in enumerate(self.words) if len(w) for q, g in enumerate(grams(w, min(n, len(w))).tolist())]
+        found.sort(key=lambda x: x[1])
         self.size = np.array([x[0] for x in found], np.int64)
         self.gram = np.array([x[1] for x in found], np.uint64)
         self.item = np.array([x[2] for x in found], np.int64)
         self.at = np.array([x[3] for x in found], np.int64)
 
-    def keep(self, wanted: np.ndarray) -> None:
-        order = np.argsort(self.gram[wanted], kind="stable")
-        self.size, self.gram, self.item, self.at = (x[wanted][order] for x in (self.size, self.gram, self.item, self.at))
-
     def occurrences(self, hashes: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Positions and gram hashes in a column of texts that are an item's gram, by gram length."""
         for n in np.unique(self.size):
@@ -92,23 +89,6 @@ def align(item: np.ndarray, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return best, end
 
 
-def _count(send):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items = send.value
-        total: dict[int, int] = {}
-        for batch in batches:
-            for part in slices(batch, "text"):
-                hashes, bounds = word_hashes(part.column("text"))
-                for pos, g in items.occurrences(hashes, bounds):
-                    doc = np.searchsorted(bounds, pos, "right") - 1
-                    once = np.unique(np.stack([doc.astype(np.uint64), g]), axis=1)[1] if len(g) else g
-                    for gram, n in zip(*(x.tolist() for x in np.unique(once, return_counts=True))):
-                        total[gram] = total.get(gram, 0) + n
-        yield pa.RecordBatch.from_arrays([pa.array(np.array(list(total), np.uint64).view(np.int64)), pa.array(list(total.values()), pa.int64())], names=["gram", "docs"])
-
-    return run
-
-
 def _find(send, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items = send.value
@@ -120,13 +100,18 @@ def _find(send, threshold: float):
                 rows = []
                 for item, doc, start in hits:
                     words = items.words[item]
-                    pad = _pad(len(words))
+                    pad, own = _pad(len(words)), np.unique(words)
                     width = len(words) + 3 * pad
                     for x in range(0, len(doc), 2048):  # a bounded matrix at a time
                         d, s = doc[x : x + 2048], start[x : x + 2048]
                         at = s[:, None] + np.arange(width)
                         inside = (at >= bounds[d][:, None]) & (at < bounds[d + 1][:, None])
                         window = np.where(inside, hashes[np.clip(at, 0, len(hashes) - 1)], np.uint64(0))
+                        matches = (own[np.minimum(np.searchsorted(own, window), len(own) - 1)] == window).sum(1)
+                        able = matches >= threshold * len(words) - 1e-9
+                        d, s, window = d[able], s[able], window[able]
+                        if not len(d):
+                            continue
                         score, end = align(words, window)
                         share = score / (MATCH * len(words))
                         rows += [(int(i), int(items.ids[item]), float(v), int(e)) for i, v, e in zip(d[share >= threshold], share[share >= threshold], (s + end - bounds[d])[share >= threshold])]
@@ -179,11 +164,6 @@ def hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
         items = Items(got["item"].to_pylist(), got["text"].combine_chunks() if got.num_rows else pa.array([], pa.string()), n)
         if not len(items.gram):
             continue
-        counted = rows.select("text").mapInArrow(_count(spark.sparkContext.broadcast(items)), "gram long, docs long").groupBy("gram").agg(F.sum("docs").alias("docs")).toArrow()
-        docs_of = dict(zip(counted["gram"].to_numpy().view(np.uint64).tolist(), counted["docs"].to_pylist()))
-        often = np.array([docs_of.get(g, 0) for g in items.gram.tolist()])
-        middle = np.array([np.median(often[items.item == i]) if (items.item == i).any() else 0 for i in range(len(items.ids))])
-        items.keep(often <= middle[items.item])
         found = rows.mapInArrow(_find(spark.sparkContext.broadcast(items), threshold), "id long, item_id long, score double, end_word long")
         out = found if out is None else out.unionByName(found)
     if out is None:

@@ -49,3 +49,23 @@ def test_finds_edited_copies_only(spark):
     left = D.decontaminate(docs, tests)
     assert left.count() == len(rows) - len([r for r in rows if r[0] in {i for i, _ in want}])
     assert D.hits(docs, tests.where("item_id < 0")).collect() == [] and D.hits(docs.where("doc_id < 0"), tests).collect() == []
+
+
+def test_finds_copies_with_most_grams_broken_and_frequent_copies(spark):
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    edited = lambda words, share: [word() if rng.random() < share else w for w in words]
+    items = [[word() for _ in range(rng.randint(14, 59))] for _ in range(60)]
+    rows, want = [], set()
+    for k, item in enumerate(items):
+        copy = edited(item, rng.choice([0.2, 0.25, 0.3]))
+        rows.append((k, " ".join([word() for _ in range(20)] + copy + [word() for _ in range(20)])))
+        if plain(item, copy) >= len(item):
+            want.add((k, k))
+    items.append([word() for _ in range(40)])
+    copy = [word() if i % 5 == 4 else w for i, w in enumerate(items[-1])]
+    rows += [(1000 + i, f"{word()} {' '.join(copy)} {word()}") for i in range(1000)]
+    want |= {(1000 + i, 60) for i in range(1000)}
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    tests = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id long, text string")
+    assert len(want) > 1040 and {(r.doc_id, r.item_id) for r in D.hits(docs, tests).collect()} == want
