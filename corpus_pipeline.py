@@ -26,8 +26,8 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates."""
-    classes = near_dedup.near_duplicates(docs)
+    """One document of each group of near duplicates: 5-word shingles, a similarity of 0.8 or more."""
+    classes = near_dedup.near_duplicates(docs, percent=80)
     return docs.join(classes.where("not kept").select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
 
 

@@ -57,3 +57,16 @@ def test_pipeline_equals_plain_stages(spark, tmp_path):
         assert out.columns == docs.columns and [f.dataType for f in out.schema] == [f.dataType for f in docs.schema], name
         assert stage(spark, docs.where("doc_id < 0"), str(tmp_path)).collect() == [], name
     assert corpus_pipeline.ORACLE_SQL is None and len(corpus_pipeline.STAGES) == 5
+
+
+def test_near_dedup_stage_links_from_080(spark):
+    rng = random.Random(21)
+    base = prose(rng, "en", 200).split()[:200]
+    rows = []
+    for k, own in enumerate((0, 15, 18, 22, 26)):  # share of the base: 196 - own of 196 + own shingles
+        rows.append((k, " ".join(base[: 200 - own] + [f"own{k}x{i}" for i in range(own)]), "en", "s", 1))
+    want = {i: c for i, (_, c) in test_near.brute([r[:2] for r in rows], percent=80).items()}
+    assert want[2] == 0 and test_near.brute([r[:2] for r in rows])[2][1] == 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    left = {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()}
+    assert left == {i for i, c in want.items() if i == c}
