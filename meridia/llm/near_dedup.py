@@ -11,8 +11,9 @@ sequence when shorter). Texts with equal sets are one class; classes are joined:
    out in leaves that all share the node's smallest member. A leaf gives a forest, at most one
    link a member, over pairs whose estimate reaches LOOSE, about five deviations below J. The
    chance that a pair at J parts in all trees is about (1 - J) ** R.
-2. The components of those links are families. A family of at most FAMILY members is one
-   leaf, a larger one is branched by trees as above; members then bring their full
+2. The components of those links are families. A family of at most FAMILY members and LEAF_SHINGLES
+   shingles is one leaf. A larger one is dealt into parts of about half that, and each part and
+   each pair of parts is a leaf, so that all pairs of a family meet. Members bring their full
    sets and every pair of a leaf is confirmed exactly, by inverted lists.
 3. The components of the confirmed links are the result.
 
@@ -96,7 +97,7 @@ def leaves(roots: DataFrame, sigs: DataFrame, jaccard: float, most: int) -> Data
         done.append(counted.where(f"rows <= {most}").select("node", "id"))
         big = counted.where(f"rows > {most}")
         if depth == DEPTH:
-            part = F.expr(f"pmod(xxhash64(id), ceil(rows * 2 / {most}))")
+            part = F.expr(f"pmod(xxhash64(id, node), ceil(rows * 2 / {most}))")
             pivots = counts.where(f"rows > {most}").select("node", "least", F.explode(F.expr(f"sequence(0L, ceil(rows * 2 / {most}) - 1)")).alias("part"))
             done.append(big.where("id != least").select(F.xxhash64("node", part).alias("node"), "id"))
             done.append(pivots.select(F.xxhash64("node", "part").alias("node"), F.col("least").alias("id")))
@@ -175,16 +176,19 @@ def _loose(least: float):
     return run
 
 
-def linked(sets: list[np.ndarray], percent: int) -> Iterator[tuple[int, int]]:
-    """A forest of the exact links: pairs with 100 * intersection >= percent * union, by inverted lists."""
+def linked(sets: list[np.ndarray], percent: int, split: int = 0) -> Iterator[tuple[int, int]]:
+    """A forest of the exact links: pairs with 100 * intersection >= percent * union, by inverted lists.
+
+    With a split, only pairs of one of the first split sets and one of the others are compared.
+    """
     n = np.array([len(s) for s in sets])
     _, tokens = np.unique(np.concatenate(sets), return_inverse=True)
     owner = np.repeat(np.arange(len(sets)), n)
-    order = np.argsort(tokens, kind="stable")
+    order = np.argsort(tokens[n[:split].sum() :], kind="stable") + n[:split].sum()
     posts, at = owner[order], np.searchsorted(tokens[order], np.arange(tokens.max() + 2 if len(tokens) else 1))
     ends = np.cumsum(n)
-    forest = Forest(len(sets))
-    for i in range(len(sets) - 1):
+    forest, trees = Forest(len(sets)), len(sets)
+    for i in range(split or len(sets) - 1):
         own = tokens[ends[i] - n[i] : ends[i]]
         common = np.zeros(len(sets), np.int64)
         for x in range(0, len(own), 256):  # a bounded share of the lists at a time
@@ -193,16 +197,20 @@ def linked(sets: list[np.ndarray], percent: int) -> Iterator[tuple[int, int]]:
         near = np.flatnonzero(100 * common >= percent * (n + n[i] - common))
         for j in near[near > i]:
             if forest.join(i, int(j)):
+                trees -= 1
                 yield i, int(j)
+        if trees == 1:
+            return
 
 
 def _exact(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in groups(batches, "node"):
             ids = t["id"].to_numpy()
-            if len(ids) > 1:
+            first = int((t["side"].to_numpy() == 0).sum())
+            if len(ids) > 1 and first:
                 sets = [np.frombuffer(x, np.uint64) for x in t["shingles"].to_pylist()]
-                found = np.array(list(linked(sets, percent)), np.int64).reshape(-1, 2)
+                found = np.array(list(linked(sets, percent, first % len(ids))), np.int64).reshape(-1, 2)
                 yield pa.RecordBatch.from_arrays([pa.array(ids[found[:, 0]]), pa.array(ids[found[:, 1]])], names=["a", "b"])
 
     return run
@@ -213,7 +221,7 @@ def _sets(k: int):
         for batch in batches:
             for part in slices(batch, "text"):
                 sets = [u.tobytes() for u in shingle_sets(part.column("text"), k)]
-                yield pa.RecordBatch.from_arrays([part.column("node"), part.column("id"), pa.array(sets, pa.binary())], names=["node", "id", "shingles"])
+                yield pa.RecordBatch.from_arrays([part.column("root"), part.column("id"), part.column("parts"), pa.array(sets, pa.binary())], names=["root", "id", "parts", "shingles"])
 
     return run
 
@@ -233,17 +241,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     loose = met.select("node", "id", "n", "sketch").repartition("node").sortWithinPartitions("node").mapInArrow(_loose(j - 0.15), "a long, b long")
     families = components(loose)
     # 2. exact links
-    members = cut(families.join(reps.select("id", "n", "sig"), families["node"] == reps["id"]).select(F.col("label").alias("root"), "id", "n", "sig"))
-    sizes = members.groupBy("root").agg(F.count("*").alias("rows"), F.sum("n").alias("total")).withColumn("whole", F.expr(f"rows <= {family} and total <= {LEAF_SHINGLES}"))
-    placed = members.join(sizes.select("root", "whole"), "root")
-    plain = placed.where("whole").select(F.col("root").alias("node"), "id")
-    if sizes.where("not whole").take(1):
-        grown = placed.where("not whole").select("id", "sig", F.explode(F.sequence(F.lit(1), F.lit(trees))).alias("tree"), "root")
-        widest = max(2, LEAF_SHINGLES // max(1, members.agg(F.max("n")).first()[0]))
-        plain = plain.unionByName(leaves(grown.select(F.xxhash64("root", "tree").alias("root"), "id", "sig"), reps.select("id", "sig"), j, min(family, widest)))
-    work = rows.join(plain, "id").select("node", "id", "text")
-    sets = work.mapInArrow(_sets(k), "node long, id long, shingles binary").dropDuplicates(["node", "id"])
-    links = sets.repartition("node").sortWithinPartitions("node", "id").mapInArrow(_exact(percent), "a long, b long")
+    members = cut(families.join(reps.select("id", "n"), families["node"] == reps["id"]).select(F.col("label").alias("root"), "id", "n"))
+    sizes = members.groupBy("root").agg(F.count("*").alias("rows"), F.sum("n").alias("total"))
+    sizes = sizes.select("root", F.expr(f"if(rows <= {family} and total <= {LEAF_SHINGLES}, 1L, ceil(greatest(rows * 2 / {family}, total * 2 / {LEAF_SHINGLES})))").alias("parts"))
+    work = rows.join(members.join(sizes, "root"), "id").select("root", "id", "parts", "text")
+    sets = work.mapInArrow(_sets(k), "root long, id long, parts long, shingles binary").dropDuplicates(["id"])
+    # leaves (root, low, high): part low against part high; side 0 are the rows of low
+    own = "pmod(xxhash64(id, root), parts)"
+    pairs = f"transform(sequence(0L, parts - 1), x -> struct(least(x, {own}) as low, greatest(x, {own}) as high, if(x < {own}, 1, 0) as side))"
+    dealt = sets.select("root", "id", "shingles", F.explode(F.expr(pairs)).alias("leaf"))
+    dealt = dealt.select(F.xxhash64("root", "leaf.low", "leaf.high").alias("node"), "id", "leaf.side", "shingles")
+    links = dealt.repartition("node").sortWithinPartitions("node", "side", "id").mapInArrow(_exact(percent), "a long, b long")
     final = components(links)
     # 3. back to the documents, through their classes
     named = classes.join(final.select(F.col("node").alias("rep"), "label"), "rep", "left").where("copies > 1 or label is not null")

@@ -82,3 +82,17 @@ def test_inverted_lists_equal_pairs():
             if 100 * i >= 60 * (len(sets[a]) + len(sets[b]) - i):
                 g.join(a, b)
     assert [f.find(i) for i in range(40)] == [g.find(i) for i in range(40)]
+
+
+def test_pairs_of_a_large_family_under_the_threshold_all_meet(spark):
+    rng = random.Random(31)
+    core, rows = words(rng, 400), []
+    for i in range(0, 120, 2):  # pairs near 0.87 in a family whose other pairs lie near 0.84
+        both = ["p%dx%d" % (i, k) for k in range(9)]
+        rows += [(i + m, " ".join(core + both + ["o%dx%d" % (i + m, k) for k in range(29)])) for m in (0, 1)]
+    rows.append((120, " ".join(core[:330] + words(rng, 20_000))))
+    want = brute(rows)
+    assert all(want[i][1] == i // 2 * 2 for i in range(120))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in N.near_duplicates(df, family=6).collect()}
+    assert got == want
