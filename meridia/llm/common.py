@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -20,31 +21,45 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; one of our own only where it is unset."""
+    """The folder named in spark.checkpoint.dir. Only a local session that names none gets one of its own."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.sparkContext.master
+        if not re.match(r"local(\[|$)", master):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that all machines of {master} share")
         found = f"file://{tempfile.mkdtemp(prefix='meridia-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+def _folder(spark: SparkSession, path: str):
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Write df as a table in the shared folder and read it: its lineage ends there."""
+    """Write df as a table in the shared folder and read it: its lineage ends there.
+
+    The table goes with forget(), or else when the driver's JVM ends.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/meridia-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    files, target = _folder(spark, path)
+    files.deleteOnExit(target)
     out = spark.read.schema(df.schema).parquet(path)
     out._meridia_path = path
     return out
 
 
-def forget(df: DataFrame | None) -> None:
-    """Delete a table that cut() wrote and nothing needs any more."""
-    path = getattr(df, "_meridia_path", None)
-    if path:
-        jvm, sc = df.sparkSession._jvm, df.sparkSession.sparkContext
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(sc._jsc.hadoopConfiguration()).delete(target, True)
+def forget(*tables: DataFrame | None) -> None:
+    """Delete tables that cut() wrote and nothing needs any more."""
+    for df in tables:
+        path = getattr(df, "_meridia_path", None)
+        if path:
+            files, target = _folder(df.sparkSession, path)
+            files.delete(target, True)
+            files.cancelDeleteOnExit(target)
 
 
 def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
@@ -82,4 +97,5 @@ def components(edges: DataFrame) -> DataFrame:
         labels = new.select("node", "label")
         labels._meridia_path = new._meridia_path
         if not moved:
+            forget(both)
             return labels
