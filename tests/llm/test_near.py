@@ -73,8 +73,7 @@ def test_inverted_lists_equal_pairs():
     rng = np.random.default_rng(1)
     sets = [np.unique(rng.integers(0, 40, 30).astype(np.uint64)) for _ in range(40)]
     f = N.Forest(40)
-    for a, b in N.linked(sets, 60):
-        f.join(a, b)
+    assert len(list(N.linked(N.Sets(sets, 60), f, range(39)))) == 40 - len({f.find(i) for i in range(40)})
     g = N.Forest(40)
     for a in range(40):
         for b in range(a):
@@ -96,3 +95,25 @@ def test_pairs_of_a_large_family_under_the_threshold_all_meet(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in N.near_duplicates(df, family=6).collect()}
     assert got == want
+
+
+@pytest.mark.parametrize("spread", [0.80, 0.92])
+def test_dense_nodes_that_cannot_be_split_meet_whole(spark, spread):
+    """150 variants of one text, at similarities around the threshold; no level of branching helps."""
+    rng = random.Random(int(100 * spread))
+    core, rows = words(rng, 300), []
+    for i in range(150):
+        copy = list(core)
+        for _ in range(rng.randint(0, round(300 * (1 - spread) / 4))):
+            copy[rng.randrange(300)] = "x%d" % rng.randrange(10**6)
+        rows.append((1000 - i, " ".join(copy)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for depth in (0, 2):
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in N.near_duplicates(df, node=20, family=16, depth=depth).collect()}
+        assert got == brute(rows)
+
+
+def test_null_ids_and_two_texts_under_one_id(spark):
+    rows = [(1, "a b c d e f"), (1, "u v w x y z"), (2, "u v w x y z"), (None, "a b c d e f"), (None, "only me here and so on"), (None, None), (3, "x")]
+    got = sorted(((r.doc_id or 0, r.component_id or 0, r.n_shingles, r.kept) for r in N.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
+    assert got == sorted([(1, 1, 2, True), (1, 1, 2, True), (2, 1, 2, False), (0, 1, 2, False), (0, 0, 2, True), (0, 0, 0, True), (3, 3, 1, True)])
