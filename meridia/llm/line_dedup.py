@@ -4,15 +4,20 @@ Lines are compared stripped; blank lines are skipped and never counted. A gram i
 of lines from a given line that has GRAM words. In each window, the shortest run of lines with
 WINDOW words, the gram with the least hash is a fingerprint, so two texts that share a run of
 WINDOW words share a fingerprint in it; a line that alone has WINDOW words always is one.
-Fingerprints are joined by their hash: each is matched with the first occurrence by (id, line)
-of its gram, and the match is extended both ways while lines agree. Each fingerprint carries
-the hashes of WINDOW words of lines on both sides, which is as far as the next fingerprint of a shared run
-can be, so overlapping extensions cover runs of any length. Matched lines are deleted
-wherever they are not the first occurrence; order and text of other lines stay.
-
-A text that consists of repeated runs becomes empty; its row stays. Null texts stay null. Rows that
-repeat an id are taken as one document and treated alike. Extra columns are passed through.
-The first occurrence is unique per hash, so a gram in a third of all texts is a hot key on one
+
+Fingerprints are joined by their hash. A fingerprint that repeats carries the lines of WINDOW words on both sides, and a match
+is extended both ways, each way as far as any earlier occurrence of it agrees: hashes of the gram with 1, 2, 3... lines before (or
+after) it are joined with their first occurrence by (id, text hash, line). The matched lines are deleted; order and text of other lines stay.
+
+Guarantee: every line in a run of WINDOW words or more that occurs earlier, in whatever context, is deleted. Proof: a window of the
+run holds a fingerprint of both occurrences, less than WINDOW words away from the line, and all between the two is
+in the run, so its hash has an earlier occurrence. Conversely, a deleted line always lies in a run of GRAM words or more that occurs
+earlier. Repeats of fewer than GRAM words stay, those of GRAM to WINDOW words go where they are a window's minimum.
+
+A text that consists of repeated runs becomes empty; its row stays. Null texts stay null, and so do texts of null ids. Rows that
+repeat an id and a text are one document and treated alike; two texts under one id are two documents. Extra
+columns are passed through, whatever their names; only a column named like removed_col is replaced.
+First occurrences are unique per hash and written, so a line in a third of all texts is a hot key on one
 side only, which the engine can split; a text's spans are gathered per text.
 """
 
@@ -28,10 +33,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from . import text
-from .common import cut, slices
+from .common import cut, forget, slices
 
-GRAM, WINDOW = 40, 50
-_PRINTS = "key long, doc long, pos int, len int, before array<long>, after array<long>"
+GRAM, WINDOW = 5, 8
+_PRINTS = "key long, doc long, of long, pos int, len int, before array<long>, after array<long>"
 
 
 def lines(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -78,37 +83,36 @@ def _prints(gram: int, window: int):
             for part in slices(batch, "text"):
                 hashes, mass, bounds = lines(part.column("text"))
                 signed = hashes.view(np.int64)
-                cols: list[list] = [[] for _ in range(6)]
-                for i, doc in enumerate(part.column("id").to_pylist()):
+                cols: list[list] = [[] for _ in range(7)]
+                for i, (doc, of) in enumerate(zip(part.column("id").to_pylist(), part.column("of").to_pylist())):
                     a, b = bounds[i], bounds[i + 1]
                     total = np.concatenate([[0], np.cumsum(mass[a:b])])
                     for key, pos, n in fingerprints(hashes[a:b], mass[a:b], gram, window):
                         low = max(0, int(np.searchsorted(total, total[pos] - window, "right")) - 1)
                         high = min(b - a, int(np.searchsorted(total, total[pos + n] + window)))
-                        for col, x in zip(cols, (key, doc, pos, n, signed[a + low : a + pos][::-1], signed[a + pos + n : a + high])):
+                        for col, x in zip(cols, (key, doc, of, pos, n, signed[a + low : a + pos][::-1], signed[a + pos + n : a + high])):
                             col.append(x)
-                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["key", "doc", "pos", "len", "before", "after"])
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["key", "doc", "of", "pos", "len", "before", "after"])
 
     return run
 
 
-def _same(a: str, b: str) -> str:
-    """Length of the common prefix of two arrays."""
-    agree = f"zip_with({a}, {b}, (x, y) -> x is not null and y is not null and x = y)"
-    return f"coalesce(nullif(array_position({agree}, false), 0) - 1, cast(size({a}) as long))"
-
-
 def repeated_spans(docs: DataFrame, gram: int = GRAM, window: int = WINDOW) -> DataFrame:
-    """docs (id, text) to spans (doc, first, stop) of non-blank lines that repeat earlier ones."""
+    """docs (id, of, text) to spans (doc, of, first, stop) of non-blank lines that repeat earlier ones."""
     prints = cut(docs.where("text is not null and id is not null").mapInArrow(_prints(gram, window), _PRINTS))
-    # minima are combined before the shuffle; the table of keys that repeat is written, so that the join below
-    # reads both sides from exchanges of its own and a hot key's rows can be split (or the table is broadcast, if small)
-    first = F.min(F.struct("doc", "pos", "before", "after")).alias("f")
-    known = cut(prints.groupBy("key").agg(first, F.count("*").alias("rows")).where("rows > 1").drop("rows"))
-    later = prints.join(known, "key").where("doc > f.doc or doc = f.doc and pos > f.pos")
-    back, on = _same("before", "f.before"), _same("after", "f.after")
-    return later.select("doc", F.expr(f"cast(pos - {back} as int)").alias("first"), F.expr(f"cast(pos + len + {on} as int)").alias("stop"))
+    many = cut(prints.groupBy("key").agg(F.count("*").alias("rows")).where("rows > 1").select("key"))
+    own = prints.join(many, "key")
+    # the gram with j lines on one side: j = 0 is the gram alone
+    grown = "transform(sequence(0, size({0})), j -> struct({1} as side, j, xxhash64(key, {1}, slice({0}, 1, j)) as h))"
+    each = own.select("doc", "of", "pos", "len", F.explode(F.expr(f"concat({grown.format('before', 0)}, {grown.format('after', 1)})")).alias("e"))
+    each = cut(each.select("doc", "of", "pos", "len", "e.side", "e.j", "e.h"))
+    first = cut(each.groupBy("h").agg(F.min(F.struct("doc", "of", "pos")).alias("f"), F.count("*").alias("rows")).where("rows > 1").select("h", "f"))
+    later = each.join(first, "h").where("struct(doc, of, pos) > f")
+    far = later.groupBy("doc", "of", "pos", "len").agg(F.max(F.when(F.col("side") == 0, F.col("j"))).alias("back"), F.max(F.when(F.col("side") == 1, F.col("j"))).alias("on"))
+    spans = cut(far.select("doc", "of", (F.col("pos") - F.col("back")).alias("first"), (F.col("pos") + F.col("len") + F.col("on")).alias("stop")))
+    forget(prints, many, each, first)
+    return spans
 
 
 def drop_lines(value: str, spans: list) -> str:
@@ -133,11 +137,15 @@ def _dropped(values: pd.Series, spans: pd.Series) -> pd.Series:
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", gram: int = GRAM, window: int = WINDOW, removed_col: str | None = "n_removed") -> DataFrame:
     """docs with repeated runs of lines deleted from text_col; removed_col counts deleted lines."""
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    spans = repeated_spans(rows, gram, window).distinct().groupBy("doc").agg(F.collect_list(F.struct("first", "stop")).alias("_spans"))
-    joined = docs.join(spans.withColumnRenamed("doc", "_doc"), F.col(id_col) == F.col("_doc"), "left").drop("_doc")
-    new = F.when(F.col("_spans").isNull(), F.col(text_col)).otherwise(_dropped(F.col(text_col), F.col("_spans")))
-    out = joined.withColumn("_new", new)
-    if removed_col:
-        out = out.withColumn(removed_col, F.coalesce(F.expr(f"size(split({text_col}, '\\n')) - if(_new = '', 0, size(split(_new, '\\n')))"), F.lit(0)))
-    return out.withColumn(text_col, F.col("_new")).drop("_new", "_spans")
+    key = [F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text_col)).alias("of")]
+    spans = repeated_spans(docs.select(*key, F.col(text_col).alias("text")), gram, window)
+    gone = spans.distinct().groupBy("doc", F.col("of").alias("hash")).agg(F.collect_list(F.struct("first", "stop")).alias("spans"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != removed_col]).alias("row"), *key)
+    rows = rows.join(gone, (F.col("id") == F.col("doc")) & (F.col("of") == F.col("hash")), "left")
+    text = F.col(f"row.`{text_col}`")
+    # only texts that lose lines go to the worker
+    rows = rows.select("row", text.alias("old"), F.when(F.col("spans").isNotNull(), text).alias("text"), "spans").select("row", "old", _dropped("text", "spans").alias("new"))
+    lines_of = lambda c: F.when(c == "", 0).otherwise(F.size(F.split(c, "\n")))
+    removed = F.when(F.col("new").isNull(), 0).otherwise(lines_of(F.col("old")) - lines_of(F.col("new")))
+    cols = [F.coalesce("new", "old").alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in docs.columns if c != removed_col]
+    return rows.select(*cols, *([removed.alias(removed_col)] if removed_col else []))
