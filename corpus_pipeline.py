@@ -14,10 +14,15 @@ from meridia.llm.common import cut, table
 from meridia.llm.queries import TOKENIZER
 
 
+def kept_of(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """docs without those that verdicts (doc_id, kept) reject; rows that share an id stay if any of them does."""
+    gone = verdicts.groupBy("doc_id").agg(F.max("kept").alias("kept")).where("not kept").select("doc_id")
+    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is known; the others go."""
-    known = language.identify(docs)
-    return docs.join(known.where("not kept").select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+    return kept_of(docs, language.identify(docs))
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,8 +32,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: 5-word shingles, a similarity of 0.8 or more."""
-    classes = near_dedup.near_duplicates(docs, percent=80)
-    return docs.join(classes.where("not kept").select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+    return kept_of(docs, near_dedup.near_duplicates(docs, percent=80))
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
