@@ -11,8 +11,10 @@ reads nothing of the input, so its cost does not grow. It is sent to the tasks (
 applied page by page, in batches of pages of similar length; nothing is shuffled.
 
 Null and empty pages give an empty text. White space inside a block becomes one space;
-character references are decoded; scripts, styles, templates, comments and the head are skipped. A tag
-that the end of the page cuts off is dropped. Repeated rows stay; other columns are ignored.
+character references are decoded; scripts, styles, templates, comments, titles and the head are skipped (the head ends at the first
+text or element that can't stand in it), nothing else is. Tags are read by the states of the HTML tokenizer: a quote opens a value
+only after an equals sign. A tag that the end of the page cuts off is dropped, a template without an end is no template.
+Nesting has no limit: an element keeps the slots of its whole path as bits. Repeated rows stay; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,14 +33,24 @@ from .common import slices
 
 PATH, WORDS, FIGURES, HIDDEN, PAGES, EPOCHS, SEED = 128, 64, 6, 24, 600, 14, 5
 SIZE = PATH + WORDS + FIGURES
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[/!?]?[A-Za-z!?][^<>\"']*(?:\"[^\"]*\"[^<>\"']*|'[^']*'[^<>\"']*)*(?:>|\Z)", re.S)
-_NAME = re.compile(r"</?\s*([A-Za-z][A-Za-z0-9:-]*)")
-_MARKS = re.compile(r"(?:\bclass|\bid|\brole)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+#: A tag without attributes; the name of any tag; one attribute, by the states of the HTML tokenizer.
+_PLAIN = re.compile(r"</?([A-Za-z][A-Za-z0-9:-]*+)\s*+/?>")
+_NAME = re.compile(r"</?([A-Za-z][^\s/>]*+)")
+_ATTRIBUTE = re.compile(r"[\s/]*+(?:([^\s/>][^\s/>=]*+)(?:\s*+(=)\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>\"'][^\s>]*+))?)?)?")
+_COMMENT_END = re.compile(r"--!?>")
 _PART = re.compile(r"[a-z]+")
 _SPACES = re.compile(r"\s+")
-SKIPPED = frozenset("script style template head noscript svg iframe object canvas math".split())
-VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+RAW = frozenset(("script", "style"))
+#: Elements that may stand in the head; any other ends it.
+IN_HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title".split())
+VOID = frozenset("area base basefont bgsound br col embed hr img input link meta param source track wbr".split())
+INLINE = frozenset(
+    (
+        "a abbr acronym audio b bdi bdo big br canvas cite code data del dfn em embed font g i iframe img ins kbd label map mark noscript object picture q rp rt ruby s samp small "
+        "span strike strong sub sup svg text time tspan tt u var video wbr math maction menclose merror mfenced mfrac mi mn mo mover mpadded mphantom mroot mrow ms mspace msqrt mstyle "
+        "msub msubsup msup mtext munder munderover semantics annotation"
+    ).split()
+)
 #: Elements that a new one of the same group closes.
 CLOSED_BY = {"p": None, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
@@ -46,63 +58,122 @@ CLOSED_BY = {"p": None, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "t
 class Block:
     __slots__ = ("path", "pieces", "linked")
 
-    def __init__(self, path: tuple[str, ...]) -> None:
+    def __init__(self, path: tuple[int, int]) -> None:
         self.path, self.pieces, self.linked = path, [], 0
 
 
-def blocks(page: str) -> list[tuple[tuple[str, ...], str, float]]:
-    """Leaf blocks: path parts from the outside in, text, share of linked characters."""
-    stack: list[tuple[str, tuple[str, ...]]] = []
+def _slot(part: str, cache: dict[str, int] = {}) -> int:
+    if part not in cache:
+        if len(cache) > 100_000:
+            cache.clear()
+        h = 2166136261
+        for c in part.encode():
+            h = (h ^ c) * 16777619 & 0xFFFFFFFF
+        cache[part] = (h ^ h >> 13) % PATH
+    return cache[part]
+
+
+def mask(*parts: str) -> int:
+    """The slots of path parts, as bits."""
+    out = 0
+    for part in parts:
+        out |= 1 << _slot(part)
+    return out
+
+
+def tag_at(page: str, at: int) -> tuple[str, bool, list[str], int]:
+    """The tag at page[at] == '<': its name ('' if it is none), whether it closes itself, words of class, id and role, and its end.
+
+    A quote opens a value only after an equals sign. A tag that the page's end cuts off ends there.
+    """
+    m = _PLAIN.match(page, at)
+    if m:
+        return m[1].lower(), page[m.end() - 2] == "/", [], m.end()
+    m = _NAME.match(page, at)
+    if m is None:
+        return "", False, [], at
+    name, marks, at, end = m[1].lower(), [], m.end(), len(page)
+    while at < end and page[at] != ">":
+        m = _ATTRIBUTE.match(page, at)
+        at = m.end()
+        if m[2] and at < end and page[at] in "\"'" and m[3] is m[4] is m[5] is None:  # a value that never ends
+            return name, False, [], end
+        if m[1] and m[1].lower() in ("class", "id", "role"):
+            marks += _PART.findall((m[3] or m[4] or m[5] or "").lower())
+    return name, page[at - 1] == "/", marks, min(end, at + 1)
+
+
+def blocks(page: str) -> list[tuple[tuple[int, int], str, float]]:
+    """Leaf blocks: path (slots of its parts as bits, number of parts), text, share of linked characters."""
+    stack: list[tuple[str, int, int]] = [("", 0, 0)]
+    opened: dict[str, int] = {}  # elements of the stack by name
     found: list[Block] = []
     current: Block | None = None
-    link, at, end = 0, 0, len(page)
-    low: str | None = None
+    link, hidden, at, end, in_head = 0, 0, 0, len(page), False
 
     def add(raw: str) -> None:
-        nonlocal current
-        if not raw or (current is None and raw.isspace()):
+        nonlocal current, in_head
+        if not raw or hidden or (current is None and raw.isspace()):
+            return
+        in_head = in_head and raw.isspace()
+        if in_head:
             return
         if current is None:
-            current = Block(tuple(part for _, parts in stack for part in parts))
+            current = Block(stack[-1][1:])
             found.append(current)
-        current.pieces.append(raw)
+        current.pieces.append(html_lib.unescape(raw))
         if link:
-            current.linked += len(raw)
+            current.linked += len(current.pieces[-1])
+
+    def pop() -> None:
+        opened[stack.pop()[0]] -= 1
 
     while at < end:
-        m = _TOKEN.search(page, at)
-        if m is None:
+        begin = page.find("<", at)
+        if begin < 0:
             add(page[at:])
             break
-        add(page[at : m.start()])
-        at = m.end()
-        tag = m[0]
-        if tag.startswith("<![CDATA["):
-            add(html_lib.escape(tag[9:-3]))
+        add(page[at:begin])
+        at = begin
+        if page.startswith("<!--", at):
+            m = _COMMENT_END.search(page, at + 2)  # <!--> is a whole comment
+            at = m.end() if m else end
             continue
-        name_match = _NAME.match(tag)
-        if name_match is None:
+        if page.startswith("<![CDATA[", at):
+            stop = page.find("]]>", at)
+            add(html_lib.escape(page[at + 9 : stop if stop >= 0 else end]))
+            at = stop + 3 if stop >= 0 else end
             continue
-        name = name_match[1].lower()
-        closing = tag[1] == "/"
-        if name in SKIPPED and not closing:
-            if not tag.endswith("/>"):
-                low = page.lower() if low is None else low
-                stop = low.find(f"</{name}", at)
-                if name == "head":  # the head may be left open
-                    body = low.find("<body", at)
-                    stop = body if stop < 0 or 0 <= body < stop else stop
-                    at = at if stop < 0 else stop
-                    continue
-                gone = page.find(">", stop) if stop >= 0 else -1
-                at = gone + 1 if gone >= 0 else end
-            current = None if name not in INLINE else current
+        closing = page.startswith("</", at)
+        name, single, marks, stop = tag_at(page, at)
+        if not name:
+            if page[at + 1 : at + 2] in ("!", "?", "/") and page[at + 1 : at + 2]:  # a doctype, an instruction or </ without a name
+                stop = page.find(">", at)
+                at = stop + 1 if stop >= 0 else end
+            else:
+                add("<")
+                at += 1
+            continue
+        at = stop
+        if stop == end and page[end - 1] != ">":
+            break
+        if name == "template":
+            if closing:
+                hidden = max(0, hidden - 1)
+            elif re.compile("</template[\\s/>]", re.I).search(page, at):
+                hidden += 1
+            current = None
             continue
-        if name == "title":
-            low = page.lower() if low is None else low
-            stop = low.find("</title", at)
-            at = stop if stop >= 0 else at
+        if name in RAW or name == "title":
+            if not closing:
+                m = re.compile(f"</{name}[\\s/>]", re.I).search(page, at)
+                at = m.start() if m else at if name == "title" else end
+            current = current if in_head or name in RAW else None
             continue
+        if name == "head":
+            in_head = not closing
+            continue
+        in_head = in_head and (closing or name in IN_HEAD)
         if name == "a":
             link = 0 if closing else 1
         if name in INLINE:
@@ -111,42 +182,28 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, float]]:
             continue
         current = None
         if closing:
-            for i in range(len(stack) - 1, max(-1, len(stack) - 40), -1):
-                if stack[i][0] == name:
-                    del stack[i:]
-                    break
+            if opened.get(name):
+                while stack[-1][0] != name:
+                    pop()
+                pop()
             continue
-        if stack and stack[-1][0] == "p":
-            stack.pop()
-        closes = CLOSED_BY.get(name)
-        if closes and stack and stack[-1][0] in closes:
-            stack.pop()
-        if name not in VOID and not tag.endswith("/>"):
-            marks = [x for m in _MARKS.finditer(tag) for x in _PART.findall((m[1] or m[2] or m[3] or "").lower())]
-            stack.append((name, (name, *marks[:8])))
-            if len(stack) > 200:
-                del stack[100]
+        if stack[-1][0] == "p" or stack[-1][0] in (CLOSED_BY.get(name) or ()):
+            pop()
+            if stack[-1][0] in (CLOSED_BY.get(name) or ()):
+                pop()
+        if name not in VOID and not single:
+            stack.append((name, stack[-1][1] | mask(name, *marks), stack[-1][2] + 1 + len(marks)))
+            opened[name] = opened.get(name, 0) + 1
     out = []
     for b in found:
         raw = "".join(b.pieces)
-        value = _SPACES.sub(" ", html_lib.unescape(raw)).strip()
+        value = _SPACES.sub(" ", raw).strip()
         if value:
             out.append((b.path, value, b.linked / len(raw)))
     return out
 
 
-def _slot(part: str, cache: dict[str, int] = {}) -> int:
-    if part not in cache:
-        if len(cache) > 100_000:
-            cache.clear()
-        h = 2166136261
-        for c in part.encode():
-            h = (h ^ c) * 16777619 & 0xFFFFFFFF
-        cache[part] = (h ^ h >> 13) % PATH
-    return cache[part]
-
-
-def vectors(pages: list[list[tuple[tuple[str, ...], str, float]]]) -> list[np.ndarray]:
+def vectors(pages: list[list[tuple[tuple[int, int], str, float]]]) -> list[np.ndarray]:
     """(blocks, SIZE) input of each page."""
     flat = [b for page in pages for b in page]
     x = np.zeros((len(flat), SIZE), np.float32)
@@ -156,11 +213,11 @@ def vectors(pages: list[list[tuple[tuple[str, ...], str, float]]]) -> list[np.nd
         row = np.repeat(np.arange(len(flat)), n)
         bag = np.bincount(row * WORDS + (hashes >> np.uint64(58)).astype(np.int64), minlength=len(flat) * WORDS).reshape(-1, WORDS)
         x[:, PATH : PATH + WORDS] = np.minimum(bag / np.sqrt(np.maximum(n, 1))[:, None] / 2, 0.6)  # one word again and again says no more
-        for i, (path, value, linked) in enumerate(flat):
-            for part in path:
-                x[i, _slot(part)] = 1
+        paths = np.frombuffer(b"".join(b[0][0].to_bytes(PATH // 8, "little") for b in flat), np.uint8).reshape(-1, PATH // 8)
+        x[:, :PATH] = np.unpackbits(paths, axis=1, bitorder="little")
+        for i, ((_, depth), value, linked) in enumerate(flat):
             sentence = value.count(". ") + (value[-1] in ".!?")
-            x[i, PATH + WORDS :] = linked, np.log1p(n[i]) / 4, np.log1p(len(value)) / 6, min(sentence, 8) / 8, value[-1] in ".!?", len(path) / 10
+            x[i, PATH + WORDS :] = linked, np.log1p(n[i]) / 4, np.log1p(len(value)) / 6, min(sentence, 8) / 8, value[-1] in ".!?", min(depth, 40) / 10
     cuts = np.cumsum([0, *map(len, pages)])
     return [x[a:b] for a, b in zip(cuts[:-1], cuts[1:])]
 

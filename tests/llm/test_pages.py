@@ -13,11 +13,65 @@ from meridia.llm import media as M
 from meridia.llm import url_filter as U
 
 
+def texts(page):
+    return [b[1] for b in H.blocks(page)]
+
+
 def test_blocks():
     got = H.blocks('<html><head><title>t</title><style>p{}</style></head><body><nav><a href="/a">x</a></nav><p class="lead big">A &amp; <b>b</b><br>c<p>d &lt;<script>var a="</p>";</script></body>')
-    assert [(b[0], b[1]) for b in got] == [(("html", "body", "nav"), "x"), (("html", "body", "p", "lead", "big"), "A & b c"), (("html", "body", "p"), "d <")]
-    assert got[0][2] == 1.0 and H.blocks("") == [] and [b[1] for b in H.blocks("plain <i>text</i> 1 < 2")] == ["plain text 1 < 2"]
-    assert [b[1] for b in H.blocks("<p>a</p><!-- x <p>no</p> --><p>b</p><div cla")] == ["a", "b"]
+    path = lambda *parts: (H.mask(*parts), len(parts))
+    assert [(b[0], b[1]) for b in got] == [(path("html", "body", "nav"), "x"), (path("html", "body", "p", "lead", "big"), "A & b c"), (path("html", "body", "p"), "d <")]
+    assert got[0][2] == 1.0 and H.blocks("") == [] and texts("plain <i>text</i> 1 < 2") == ["plain text 1 < 2"]
+    assert texts("<p>a</p><!-- x <p>no</p> --><p>b</p><div cla") == ["a", "b"]
+
+
+def test_tags_are_read_by_attribute_states():
+    assert texts("<p title=it's>Hello it's me</p>") == ["Hello it's me"]
+    assert texts("<p title='a > b' x=\"<p>\" y>one</p y='>'>two") == ["one", "two"]
+    assert texts("<p \">a</p><p =x>b</p><p a=b'c>d</p><a/b>e</a>") == ["a", "b", "d", "e"]
+    assert texts("<p>a<p title='never ends>b</p>") == ["a"]
+    assert texts("a <3 b </> c <!doctype x> d <?p i?> e <!--> f") == ["a <3 b c d e f"]
+    assert H.blocks('<div CLASS=\'Lead\'ID="x"><p>t')[0][0] == (H.mask("div", "lead", "x", "p"), 4)
+
+
+def test_only_what_the_contract_names_is_skipped():
+    for tag in ("math", "object", "noscript", "canvas", "svg", "iframe"):
+        assert texts(f"<article><p>the <{tag}>inner</{tag}> text</p><p>more</p></article>") == ["the inner text", "more"], tag
+        assert texts(f"<p>the <{tag}>inner</p><p>more") == ["the inner", "more"], tag  # never closed
+    assert texts("<p>a<template><p>no<template>no</template></p></template>b<p>c") == ["a", "b", "c"]
+    assert texts("<p>a<template><p>kept") == ["a", "kept"]
+    assert texts("<p>a<SCRIPT>no</p></script >b<style>no") == ["ab"]
+    assert texts("<head><meta x><title>no</title>text<p>more") == ["text", "more"] and texts("<head><link><body>b") == ["b"]
+    deep = "<div>" * 5000 + "inner" + "</div>" * 4999 + "outer</div><p>last"
+    assert texts(deep) == ["inner", "outer", "last"] and H.blocks(deep)[2][0] == (H.mask("p"), 1)
+
+
+def plain_logits(net, x):
+    """The forward pass of one page, block by block."""
+    sigma = lambda v: 1 / (1 + np.exp(-v))
+    states = []
+    for d, order in (("f", range(len(x))), ("b", range(len(x) - 1, -1, -1))):
+        h, c, out = np.zeros(H.HIDDEN), np.zeros(H.HIDDEN), {}
+        for t in order:
+            i, f, o, g = np.split(x[t].astype(float) @ net.p[f"{d}x"] + net.p[f"{d}0"] + h @ net.p[f"{d}h"], 4)
+            c = sigma(f) * c + sigma(i) * np.tanh(g)
+            h = sigma(o) * np.tanh(c)
+            out[t] = h
+        states.append(out)
+    return [float(np.concatenate([states[0][t], states[1][t]]) @ net.p["o"] + net.p["o0"][0]) for t in range(len(x))]
+
+
+def test_query_equals_a_plain_forward_pass(spark):
+    from meridia.llm.queries import QUERIES
+
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect()
+    got = {r.page_id: r.text for r in QUERIES["op5_html_extraction"](spark, "/root/testdata/sf0.001").collect()}
+    net = H.train()
+    for r in pages:
+        found = H.blocks(r.html or "")
+        z = plain_logits(net, H.vectors([found])[0])
+        assert got[r.page_id] == "\n".join(b[1] for b, v in zip(found, z) if v > 0)
+    assert len(got) == len(pages)
 
 
 def test_gradient_is_right():
