@@ -30,6 +30,8 @@ from .common import slices
 from .toxicity import GAP
 
 N, THRESHOLD, BLOCK_WORDS = 3, 0.5, 2_000_000
+#: Words of windows that are aligned together.
+CELLS = 1 << 18
 MATCH, MISMATCH, SPACE = 2, -1, 1
 
 
@@ -102,8 +104,9 @@ def _find(send, threshold: float):
                     words = items.words[item]
                     pad, own = _pad(len(words)), np.unique(words)
                     width = len(words) + 3 * pad
-                    for x in range(0, len(doc), 2048):  # a bounded matrix at a time
-                        d, s = doc[x : x + 2048], start[x : x + 2048]
+                    step = max(1, CELLS // width)  # a bounded matrix at a time, or one window of a very long item
+                    for x in range(0, len(doc), step):
+                        d, s = doc[x : x + step], start[x : x + step]
                         at = s[:, None] + np.arange(width)
                         inside = (at >= bounds[d][:, None]) & (at < bounds[d + 1][:, None])
                         window = np.where(inside, hashes[np.clip(at, 0, len(hashes) - 1)], np.uint64(0))

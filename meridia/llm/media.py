@@ -6,7 +6,9 @@ resampled to another rate by windowed-sinc polyphase filters and kept as 16-bit
 
 A telephony column stores texts: text_payload() frames UTF-8 bytes, zero-padded to a positive
 multiple of 64, as 8-bit mu-law samples; the samples are the bytes, so reading them back is
-exact. Null texts are empty. Files that are no WAV of a known kind raise ValueError.
+exact. Null texts are empty. read_wav() raises ValueError for what is no mono WAV file of a known kind; in a column such files,
+and nulls, give a row with its id, n_bytes and an error, and nulls elsewhere. Long clips are handled CHUNK samples at a time, so
+memory does not grow with a clip but for its own bytes.
 """
 
 from __future__ import annotations
@@ -26,6 +28,8 @@ from .common import slices
 
 PCM, ALAW, MULAW, ADPCM = 1, 6, 7, 17
 UNIT, BLOCK = 64, 64
+#: Bytes of clips that are handled together, and samples of a long clip at a time; a multiple of BLOCK.
+CHUNK = 1 << 20
 RATE, STORED_RATE = 8000, 4000
 #: Fixed values of the IMA ADPCM standard: index adjustments by the code's magnitude bits.
 ADJUST = np.array([-1, -1, -1, -1, 2, 4, 6, 8], np.int32)
@@ -162,7 +166,7 @@ def text_payload(text: bytes) -> bytes:
 def encode_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(id, text) to (id, n_bytes, media): each text as a mu-law WAV file."""
     for batch in batches:
-        for part in slices(batch, "text"):
+        for part in slices(batch, "text", CHUNK):
             texts = [x or b"" for x in part.column("text").cast(pa.binary()).to_pylist()]
             media = [wav(text_payload(x), MULAW) for x in texts]
             yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([len(x) for x in texts], pa.int64()), pa.array(media, pa.binary())], names=["id", "n_bytes", "media"])
@@ -172,19 +176,50 @@ def _energy(pcm: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return np.add.reduceat(pcm.astype(np.int64) ** 2, starts)
 
 
-def features(files: list[tuple[int, int, int, int, bytes]]) -> tuple[list[str], list[bytes]]:
-    """A feature string for each clip, and its PCM resampled to STORED_RATE.
+def _piece(raw: np.ndarray, before: np.ndarray, after: np.ndarray) -> tuple[tuple[int, int, int, int, int], np.ndarray]:
+    """Peak, energy, crossings, A-law energy and ADPCM energy of a part of a clip, and its PCM at half the rate.
+
+    before and after: the bytes around it, as far as the filter reaches.
+    """
+    pcm = MULAW_TABLE[raw]
+    near = MULAW_TABLE[np.concatenate([before[-1:], raw])] < 0
+    energy = lambda x: int((x.astype(np.int64) ** 2).sum())
+    spread = halve(np.concatenate([MULAW_TABLE[before], pcm, MULAW_TABLE[after]]))
+    figures = int(np.abs(pcm.astype(np.int32)).max()), energy(pcm), int((near[1:] != near[:-1]).sum()), energy(ALAW_TABLE[raw]), energy(adpcm_blocks(raw.reshape(-1, BLOCK)))
+    return figures, spread[len(before) // 2 : (len(before) + len(raw)) // 2]
+
+
+def long_features(raw: np.ndarray, chunk: int = CHUNK) -> tuple[str, bytes]:
+    """features() of one clip, a chunk at a time."""
+    found, stored = [], []
+    for x in range(0, len(raw), chunk):
+        figures, half = _piece(raw[x : x + chunk], raw[max(0, x - GAP) : x], raw[x + chunk : x + chunk + GAP])
+        found.append(figures)
+        stored.append(half.astype("<i2"))
+    return _written(len(raw), max(f[0] for f in found), *(sum(f[k] for f in found) for k in range(1, 5)), np.concatenate(stored))
+
+
+def _written(n: int, peak: int, energy: int, crossings: int, alaw: int, adpcm: int, pcm: np.ndarray) -> tuple[str, bytes]:
+    raw = pcm.tobytes()
+    own = sum(int((pcm[x : x + CHUNK].astype(np.int64) ** 2).sum()) for x in range(0, len(pcm), CHUNK))
+    text = f"n={n};peak={peak};energy={energy};crossings={crossings};alaw={alaw};adpcm={adpcm};pcm={len(pcm)}@{STORED_RATE};pcm_energy={own};pcm_crc={zlib.crc32(raw)}"
+    return text, wav(raw, PCM, STORED_RATE, 2, 16)
+
+
+def features(payloads: list[bytes]) -> list[tuple[str, bytes]]:
+    """A feature string for each mu-law clip (whole blocks), and its PCM resampled to STORED_RATE as a WAV file.
 
     The string holds samples, peak, energy and zero crossings of the clip, energies of the same
     bytes under the A-law and ADPCM codecs, and count, energy and CRC-32 of the stored PCM.
     """
-    raw = [np.frombuffer(x[4], np.uint8) for x in files]
+    raw = [np.frombuffer(x, np.uint8) for x in payloads]
+    if len(raw) == 1 and len(raw[0]) > CHUNK:
+        return [long_features(raw[0])]
     n = np.array([len(x) for x in raw])
     starts = np.concatenate([[0], np.cumsum(n)[:-1]])
     joined = np.concatenate(raw)
     pcm, alaw = MULAW_TABLE[joined], ALAW_TABLE[joined]
-    blocks = adpcm_blocks(joined.reshape(-1, BLOCK))
-    adpcm = _energy(blocks.reshape(-1), starts // BLOCK * (2 * (BLOCK - 4) + 1))
+    adpcm = _energy(adpcm_blocks(joined.reshape(-1, BLOCK)).reshape(-1), starts // BLOCK * (2 * (BLOCK - 4) + 1))
     crossed = np.zeros(len(pcm), np.int64)
     crossed[1:] = (pcm[1:] < 0) != (pcm[:-1] < 0)
     crossed[starts] = 0
@@ -195,41 +230,47 @@ def features(files: list[tuple[int, int, int, int, bytes]]) -> tuple[list[str],
     for i in range(len(n)):
         spaced[at[i] : at[i] + n[i]] = pcm[starts[i] : starts[i] + n[i]]
     half = halve(spaced)
-    stored = [half[at[i] // 2 : at[i] // 2 + n[i] // 2].astype("<i2") for i in range(len(n))]
-    text = [
-        f"n={n[i]};peak={peak[i]};energy={energy[i]};crossings={crossings[i]};alaw={other[i]};adpcm={adpcm[i]};pcm={len(s)}@{STORED_RATE};pcm_energy={int((s.astype(np.int64) ** 2).sum())};pcm_crc={zlib.crc32(s.tobytes())}"
-        for i, s in enumerate(stored)
-    ]
-    return text, [wav(s.tobytes(), PCM, STORED_RATE, 2, 16) for s in stored]
+    return [_written(n[i], peak[i], energy[i], crossings[i], other[i], adpcm[i], half[at[i] // 2 : at[i] // 2 + n[i] // 2].astype("<i2")) for i in range(len(n))]
+
+
+def _samples(media: bytes | None) -> tuple[bytes | None, str | None]:
+    """The mu-law samples of a stored file, whole blocks, or what is wrong with it."""
+    if media is None:
+        return None, "no file"
+    try:
+        kind, *_, payload = read_wav(media)
+    except (ValueError, struct.error) as e:
+        return None, str(e)
+    if kind != MULAW or not payload or len(payload) % BLOCK:
+        return None, f"kind {kind} with {len(payload)} bytes"
+    return payload, None
 
 
 def _digest(keep_pcm: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "media"):
+            for part in slices(batch, "media", CHUNK):
                 media = part.column("media").to_pylist()
-                files = [read_wav(x) for x in media]
-                payloads = [x[4] for x in files]
-                text, pcm = features(files)
-                cols = [
-                    part.column("id"),
-                    part.column("n_bytes"),
-                    pa.array([len(x) for x in payloads], pa.int64()),
-                    pa.array([hashlib.sha256(x).hexdigest() for x in payloads]),
-                    pa.array([zlib.crc32(x[-UNIT:]) for x in payloads], pa.int64()),
-                    pa.array([len(x) for x in media], pa.int64()),
-                    pa.array([hashlib.sha256(x).hexdigest() for x in media]),
-                    pa.array(text),
-                ]
-                if keep_pcm:
-                    cols.append(pa.array(pcm, pa.binary()))
-                yield pa.RecordBatch.from_arrays(cols, names=NAMES[: len(cols)])
+                read = [_samples(x) for x in media]
+                good = [p for p, _ in read if p is not None]
+                made = iter(features(good) if good else ())
+                rows = []
+                for (p, error), file in zip(read, media):
+                    stored = [len(file), hashlib.sha256(file).hexdigest()] if file is not None else [None, None]
+                    if p is None:
+                        rows.append([None, None, None, *stored, None, error, None])
+                    else:
+                        text, pcm = next(made)
+                        rows.append([len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-UNIT:]), *stored, text, None, pcm])
+                cols = [pa.array(c, k) for c, k in zip(zip(*rows), _KINDS)]
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("n_bytes"), *cols[: 8 if keep_pcm else 7]], names=NAMES[: 10 if keep_pcm else 9])
 
     return run
 
 
-NAMES = ["id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "pcm"]
-_TYPES = "id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+NAMES = ["id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "error", "pcm"]
+_KINDS = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.binary())
+_TYPES = "id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, error string"
 
 
 def media_column(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -237,8 +278,8 @@ def media_column(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(encode_texts, "id long, n_bytes long, media binary")
 
 
-def media_features(media: DataFrame, id_col: str = "doc_id", keep_pcm: bool = False) -> DataFrame:
-    """What the files of media_column() hold when read back; keep_pcm adds the resampled clip as a PCM WAV file.
+def media_features(media: DataFrame, id_col: str = "doc_id", keep_pcm: bool = True) -> DataFrame:
+    """What the files of media_column() hold when read back, and with keep_pcm the resampled clip as a PCM WAV file.
 
     Repeated rows and ids stay; equal texts give equal values. Every payload is a positive
     multiple of 64 bytes, so it is also whole ADPCM blocks.

@@ -3,12 +3,14 @@
 Each task packs the rows it reads, in their order: a document's tokens (its text's ids and the
 end id) are cut into whole sequences and a rest, and the rest is placed into the open sequence whose
 fill level makes the sum of squared counts of open sequences by level smallest. The level array holds
-those counts. What is still open at the task's end is joined, cut at the sequence length, and
-the last tokens go to sequences of power-of-two lengths, which need no padding.
+those counts. At most OPEN sequences are open: when the rule asks for one more, the rest is cut so that it fills a
+sequence of the level with the most (ties: the fullest), the choice that makes the sum smallest, and what is left of it is placed by the rule again.
+
+What is still open at the task's end, fewer than OPEN times the length in tokens whatever the task has read, is joined, cut at the sequence length, and
+the last tokens go to sequences of power-of-two lengths, which need no padding; the column at_end marks their pieces.
 
 There is no shuffle, so no key can be hot, and a task that runs again makes the same rows:
-sequence_id is the task's number and a running number. Memory: one slice of texts and the open
-sequences, whose number the algorithm keeps small.
+sequence_id is the task's number and a running number. Memory: one slice of texts and OPEN sequences.
 
 Null and empty texts are the end id alone. Repeated rows are packed again. Strings of special
 tokens in a text are ordinary text. Other columns are ignored.
@@ -30,6 +32,8 @@ from . import text
 from .common import slices
 
 LENGTH, END = 4096, 2
+#: Sequences that a task keeps open: 1 MB of ids.
+OPEN = 64
 #: Pieces of words whose ids a worker remembers.
 REMEMBERED = 1_000_000
 #: A character that is a pre-token of its own between spaces.
@@ -145,8 +149,8 @@ Piece = tuple[int, int, np.ndarray, int]  # document, start, ids, tokens of the
 class SumOfSquares:
     """Open sequences by fill level; add() and finish() return those that are complete."""
 
-    def __init__(self, length: int = LENGTH) -> None:
-        self.length = length
+    def __init__(self, length: int = LENGTH, most: int = OPEN) -> None:
+        self.length, self.most, self.count = length, most, 0
         self.level = np.zeros(length + 1, np.int64)  # open sequences by fill; the full ones don't count
         self.open: list[list[list[Piece]]] = [[] for _ in range(length + 1)]
 
@@ -167,15 +171,21 @@ class SumOfSquares:
         whole = total // self.length * self.length
         for start in range(0, whole, self.length):
             done.append([(doc, start, ids[start : start + self.length], total)])
-        if whole < total:
-            done += self._place((doc, whole, ids[whole:], total))
+        while whole < total:
+            size = total - whole
+            at = self.best(size)
+            if not at and self.count >= self.most:
+                at = int(self.length - np.argmax(self.level[::-1]))
+                size = min(size, self.length - at)
+            done += self._place((doc, whole, ids[whole : whole + size], total), at)
+            whole += size
         return done
 
-    def _place(self, piece: Piece) -> list[list[Piece]]:
+    def _place(self, piece: Piece, at: int) -> list[list[Piece]]:
         size = len(piece[2])
-        at = self.best(size)
         if at:
             self.level[at] -= 1
+            self.count -= 1
             taken = self.open[at].pop()
         else:
             taken = []
@@ -183,6 +193,7 @@ class SumOfSquares:
         if at + size == self.length:
             return [taken]
         self.level[at + size] += 1
+        self.count += 1
         self.open[at + size].append(taken)
         return []
 
@@ -190,7 +201,7 @@ class SumOfSquares:
         """Join what is open, cut it at the length, and the rest at powers of two."""
         rest = [p for level in reversed(self.open) for taken in level for p in taken]
         left, done = sum(len(p[2]) for p in rest), []
-        self.__init__(self.length)
+        self.__init__(self.length, self.most)
         sizes = [self.length] * (left // self.length) + [1 << b for b in reversed(range(self.length.bit_length())) if left % self.length >> b & 1]
         for size in sizes:
             taken: list[Piece] = []
@@ -205,31 +216,31 @@ class SumOfSquares:
         return done
 
 
-NAMES = ["id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"]
-_TYPES = "id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+NAMES = ["id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "at_end", "ids"]
+_TYPES = "id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, at_end boolean"
 
 
 def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, end: int = END, keep_ids: bool = True) -> DataFrame:
-    """One row per piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset and, if kept, its ids."""
+    """One row per piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset, at_end and, if kept, its ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
         number = (context.partitionId() if context else 0) << 40
         packer, encode = SumOfSquares(length), tokens(path).encode
 
-        def rows(done: list[list[Piece]]) -> pa.RecordBatch:
+        def rows(done: list[list[Piece]], at_end: bool) -> pa.RecordBatch:
             nonlocal number
             cols: list[list] = [[] for _ in NAMES]
             for taken in done:
                 offset = 0
                 for doc, start, ids, total in taken:
-                    for col, x in zip(cols, (doc, start, len(ids), zlib.crc32(ids.astype("<u4")), total, number, offset, ids)):
+                    for col, x in zip(cols, (doc, start, len(ids), zlib.crc32(ids.astype("<u4")), total, number, offset, at_end, ids)):
                         col.append(x)
                     offset += len(ids)
                 number += 1
-            arrays = [pa.array(c, pa.int64()) for c in cols[:7]]
+            arrays = [*(pa.array(c, pa.int64()) for c in cols[:7]), pa.array(cols[7], pa.bool_())]
             if keep_ids:
-                arrays.append(pa.array([x.astype(np.int32) for x in cols[7]], pa.list_(pa.int32())))
+                arrays.append(pa.array([x.astype(np.int32) for x in cols[8]], pa.list_(pa.int32())))
             return pa.RecordBatch.from_arrays(arrays, names=NAMES[: len(arrays)])
 
         for batch in batches:
@@ -239,8 +250,8 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
                 for i, doc in enumerate(part.column("id").to_pylist()):
                     done += packer.add(doc, np.append(ids[bounds[i] : bounds[i + 1]], np.uint32(end)))
                 if done:
-                    yield rows(done)
-        yield rows(packer.finish())
+                    yield rows(done, False)
+        yield rows(packer.finish(), True)
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(run, _TYPES + (", ids array<int>" if keep_ids else "")).withColumnRenamed("id", id_col)

@@ -25,26 +25,34 @@ def test_ids_equal_the_library():
             assert list(ids[bounds[i] : bounds[i + 1]]) == t.encode(x or "", add_special_tokens=False).ids
 
 
-def test_places_by_sum_of_squares():
-    rng = np.random.default_rng(2)
-    p = P.SumOfSquares(64)
-    for _ in range(600):
-        size = int(rng.integers(1, 64))
-        n = p.level.copy()
+def cost(level, length, at, size):
+    m = level.copy()
+    m[at] -= at > 0
+    m[at + size] += at + size < length
+    return int((m**2).sum())
 
-        def cost(h):
-            m = n.copy()
-            m[h] -= h > 0
-            m[h + size] += h + size < 64
-            return int((m**2).sum())
 
-        at = p.best(size)
-        assert cost(at) == min(cost(h) for h in range(65 - size) if h == 0 or n[h])
-        p.add(0, np.zeros(size, np.uint32))
-    open_tokens = sum(len(x[2]) for level in p.open for taken in level for x in taken)
-    done = p.finish()
-    sizes = [sum(len(x[2]) for x in taken) for taken in done]
-    assert sum(sizes) == open_tokens and all(s == 64 or s & (s - 1) == 0 for s in sizes)
+def test_places_by_sum_of_squares():
+    rng = np.random.default_rng(2)
+    for most in (10_000, 12, 1):
+        p, put, closed = P.SumOfSquares(64, most), 0, 0
+        for _ in range(600):
+            size, n = int(rng.integers(1, 64)), p.level.copy()
+            options = [h for h in range(65 - size) if h == 0 or n[h]]
+            at = p.best(size)
+            assert cost(n, 64, at, size) == min(cost(n, 64, h, size) for h in options)
+            done = p.add(0, np.zeros(size, np.uint32))
+            put, closed = put + size, closed + sum(len(x[2]) for taken in done for x in taken)
+            assert all(sum(len(x[2]) for x in taken) == 64 for taken in done)
+            assert p.count == p.level.sum() <= most
+            if at or n.sum() < most:  # placed whole
+                m = n.copy()
+                m[at] -= at > 0
+                m[at + size] += at + size < 64
+                assert np.array_equal(m, p.level)
+        assert put - closed == sum(len(x[2]) for level in p.open for taken in level for x in taken) < most * 64
+        sizes = [sum(len(x[2]) for x in taken) for taken in p.finish()]
+        assert sum(sizes) == put - closed and all(s == 64 or s & (s - 1) == 0 for s in sizes) and p.count == 0
 
 
 def test_pieces_make_whole_documents(spark):
@@ -75,4 +83,8 @@ def test_pieces_make_whole_documents(spark):
         total += end
         padding += 0 if end & (end - 1) == 0 else 4096 - end
     assert padding == 0
+    at_end = defaultdict(int)
+    for r in got:
+        at_end[r.sequence_id >> 40] += r.length * r.at_end
+    assert all(n < P.OPEN * 4096 for n in at_end.values())
     assert P.pack(df.where("doc_id < 0"), PATH).collect() == []

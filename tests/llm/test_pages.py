@@ -162,7 +162,7 @@ def test_media_round_trip(spark):
     rows = [(i, "".join(rng.choice("aé日 \n") for _ in range(rng.randint(0, 300)))) for i in range(30)] + [(30, None), (31, ""), (32, "x" * 64), (33, "y" * 200_000), (34, "same"), (34, "same")]
     df = spark.createDataFrame([(*r, b"z") for r in rows], "doc_id long, text string, media binary")
     media = M.media_column(df)
-    got = M.media_features(media, keep_pcm=True).collect()
+    got = M.media_features(media).collect()
     assert len(got) == len(rows)
     by = {r.doc_id: r for r in got}
     files = {r.id: bytes(r.media) for r in media.collect()}
@@ -174,4 +174,28 @@ def test_media_round_trip(spark):
         assert r.tail_crc32 == zlib.crc32(payload[-64:]) and r.media_bytes == len(files[i]) and r.media_sha256 == hashlib.sha256(files[i]).hexdigest()
         kind, rate, _, bits, samples = M.read_wav(bytes(r.pcm))
         assert (kind, rate, bits) == (M.PCM, 4000, 16) and np.array_equal(np.frombuffer(samples, "<i2"), M.resample(M.MULAW_TABLE[np.frombuffer(payload, np.uint8)], 8000, 4000))
+        assert r.feature == plain_feature(payload) and r.error is None
     assert M.media_features(M.media_column(df.where("doc_id < 0"))).collect() == []
+    broken = [(1, 0, None), (2, 0, b"junk"), (3, 0, b"RIFFxxxxWAVEfmt \0"), (4, 0, M.wav(b"\0" * 64, M.ALAW)), (5, 3, files[0]), (6, 0, M.wav(b"", M.MULAW))]
+    found = {r.id: r for r in M.media_features(spark.createDataFrame(broken, "id long, n_bytes long, media binary"), "id").collect()}
+    assert [i for i in found if found[i].error is None] == [5] and found[5].feature == by[0].feature and all(found[i].pcm is None for i in (1, 2, 3, 4, 6))
+
+
+def plain_feature(payload):
+    """The feature string, sample by sample."""
+    table, alaw = [int(x) for x in M.MULAW_TABLE], [int(x) for x in M.ALAW_TABLE]
+    x = [table[b] for b in payload]
+    adpcm = sum(s * s for at in range(0, len(payload), 64) for s in plain_adpcm(payload[at : at + 64]))
+    pcm = M.resample(np.array(x, np.int16), 8000, 4000).astype("<i2")
+    return (
+        f"n={len(x)};peak={max(map(abs, x))};energy={sum(v * v for v in x)};crossings={sum((a < 0) != (b < 0) for a, b in zip(x, x[1:]))};alaw={sum(alaw[b] ** 2 for b in payload)};adpcm={adpcm}"
+        f";pcm={len(pcm)}@4000;pcm_energy={sum(int(v) ** 2 for v in pcm)};pcm_crc={zlib.crc32(pcm.tobytes())}"
+    )
+
+
+def test_long_clips_by_chunks():
+    raw = np.random.default_rng(4).integers(0, 256, 64 * 57, dtype=np.uint8)
+    want = M.features([raw.tobytes()])[0]
+    for chunk in (64, 128, 640, 64 * 57):
+        assert M.long_features(raw, chunk) == want
+    assert want[0] == plain_feature(raw.tobytes())
