@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import decontaminate, html_text, language, line_dedup, media, near_dedup, packing, pii, toxicity, url_filter
 from .common import table
@@ -17,6 +18,15 @@ def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents"))
 
 
+def page_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same operator where hosts, suffixes and <html lang> are real: the words of all pages outside tags and scripts."""
+    raw = F.col("html")
+    words = F.regexp_replace(F.regexp_replace(raw, r"(?is)<(script|style)\b.*?</\1\s*>", " "), r"<[^>]*>", " ")
+    declared = F.regexp_extract(raw, r"(?i)<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z-]+)", 1)
+    pages = table(spark, sf_dir, "pages").select("page_id", words.alias("text"), declared.alias("lang"), url_filter.parse(F.col("url"))[0].alias("source"))
+    return language.identify(pages, id_col="page_id")
+
+
 def toxic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -55,6 +65,7 @@ def urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": language_id,
+    "language_of_pages": page_languages,
     "op2_toxicity": toxic,
     "op3_telephony_audio": telephony,
     "op4_packing": packed,

@@ -6,13 +6,12 @@ alone: the gradient of the noisy-or likelihood gives a positive text's credit to
 that explain it. Afterwards sentence scores say where a toxic text offends.
 
 Training reads at most `most` labelled texts of each label, chosen by a hash of their id (a
-bounded sample, whole texts), on the driver as word hashes by sentence, and weighs the two labels by
-their counts among all labels. Scoring reads every row in place, without a shuffle. Only
+bounded sample, whole texts), on the driver as word hashes by sentence of SAMPLE_BYTES together at most: in the order of the hash,
+a text that no longer fits is passed over. The two labels are weighed by their counts among all labels. Scoring reads every row in place, without a shuffle. Only
 features that MIN_DOCS training texts share get a weight, so unseen words are neutral.
 
-Null, empty and wordless texts get the score of an empty bag, the training share of toxic texts
-without words, or 0.0. Repeated rows are scored alike. With no labels of one kind every text gets the
-share of positives. Labels that contradict each other for an id count as toxic.
+Null, empty and wordless texts are empty bags and score 0.0. Repeated rows are scored alike. With no labels of one kind nothing can be
+learned and every text gets the share of positives. Among equally bad sentences the first is the worst. Labels that contradict each other for an id count as toxic.
 """
 
 from __future__ import annotations
@@ -25,12 +24,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text
-from .common import slices
+from .common import cut, forget, slices
 
 BITS, TRAIN, MIN_DOCS, EPOCHS, DECAY = 18, 2000, 10, 100, 2e-4
 #: Bytes of a longer word's openings that are features.
 OPENINGS = (5, 6, 7)
 THRESHOLD, OFFENDING = 0.7, 0.5
+#: Bytes of training bags on the driver.
+SAMPLE_BYTES = 32 << 20
 #: Bytes that end a sentence, and bytes between words: ASCII but letters and digits.
 END = np.zeros(256, bool)
 END[[ord(c) for c in ".!?\n"]] = True
@@ -128,7 +129,7 @@ def _bag_rows(part: pa.RecordBatch) -> tuple[list[bytes], list[bytes]]:
     return rows, features
 
 
-def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN) -> Model:
+def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN, room: int = SAMPLE_BYTES) -> Model:
     """Fit on labels (id, y) and docs (id, text); labels that the caller holds out are not passed."""
     known = labels.where("y is not null and id is not null").groupBy("id").agg(F.max("y").alias("y"))
     total = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
@@ -145,7 +146,15 @@ def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN) -> Model:
 
     # at most 2 * most rows: the side that is broadcast is bounded
     bag = docs.join(F.broadcast(chosen), "id").dropDuplicates(["id"]).select("id", "y", "text").mapInArrow(run, "id long, y int, sentence binary, feature binary")
-    got = bag.toArrow().sort_by("id")
+    bag = cut(bag)
+    sizes = bag.select("id", F.xxhash64("id").alias("h"), F.expr("octet_length(sentence) + octet_length(feature)").alias("bytes")).toArrow().sort_by([("h", "ascending"), ("id", "ascending")])
+    left, taken = room, []
+    for one, size in zip(sizes["id"].to_pylist(), sizes["bytes"].to_pylist()):
+        if size <= left:
+            left -= size
+            taken.append((one,))
+    got = bag.join(F.broadcast(docs.sparkSession.createDataFrame(taken, "id long")), "id").toArrow().sort_by("id")
+    forget(bag)
     y = got["y"].to_numpy().astype(float) if got.num_rows else np.zeros(0)
     if not len(y):
         return Model(np.zeros(1 << BITS, np.float32), 0.0, 0.0)

@@ -5,10 +5,11 @@ labelled page outcomes (1 bad, 0 good, null unlabelled). Outcomes are counted by
 registered domain and suffix. At each level the children's bad rates get a beta prior around the
 parent's estimate; its strength is 1 / rho - 1, with the intra-class correlation rho of the
 beta-binomial taken by moments from all children. A url without a rule is blocked when the
-lower posterior bound of its host's bad rate (mean - Z deviations) reaches BLOCK.
+lower posterior bound of its host's bad rate (mean - Z deviations) reaches a threshold: the caller's, or the bad rate of all
+labelled pages, so that hosts go that are credibly worse than the whole.
 
 Counts are combined before each shuffle and joined on unique hosts, so a host with a third of all
-pages costs one row. Null urls and urls without "://" have an empty host and path, no rule, and
+pages costs one row. Rules of equal length that fit one url: the later one decides. Null urls and urls without "://" have an empty host and path, no rule, and
 the verdict that the overall prior gives. Repeated rows stay; other columns are ignored.
 """
 
@@ -18,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 RULES = (("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block"))
-Z, BLOCK = 1.645, 0.5
+Z = 1.645
 #: Second-level names under which two-letter country suffixes register domains.
 SECOND = ("ac", "co", "com", "edu", "gov", "net", "org")
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -86,7 +87,7 @@ def reputation(pages: DataFrame) -> DataFrame:
     return h.withColumn("bound", F.expr(f"a / (a + b) - {Z}D * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1)))"))
 
 
-def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules: tuple[tuple[str, str], ...] = RULES, outcome_col: str | None = None) -> DataFrame:
+def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules: tuple[tuple[str, str], ...] = RULES, outcome_col: str | None = None, block: float | None = None) -> DataFrame:
     """One row a page: id, host, path, rule, verdict, bound (null where a rule decides)."""
     host, path = parse(F.col(url_col))
     cols = [F.col(id_col), host.alias("host"), path.alias("path"), (F.col(outcome_col) if outcome_col else F.lit(None)).cast("int").alias("bad")]
@@ -94,7 +95,8 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules
     rule, says = rule_of(F.col("host"), F.col("path"), rules)
     rows = rows.select(id_col, "host", "path", rule.alias("rule"), says.alias("says"), F.coalesce("bad", (says == "block").cast("int")).alias("bad"))
     bound = F.when(F.col("rule").isNull(), F.col("bound"))
-    verdict = F.coalesce("says", F.when(F.col("bound") >= BLOCK, "block").otherwise("allow"))
+    least = F.lit(block) if block is not None else rows.agg(F.expr("(coalesce(sum(bad), 0) + 1) / (count(bad) + 2)")).scalar()
+    verdict = F.coalesce("says", F.when(F.col("bound") >= least, "block").otherwise("allow"))
     known = reputation(rows.select("host", "bad")).select("host", "bound")
     return rows.join(known, "host").select(id_col, "host", "path", "rule", verdict.alias("verdict"), F.round(bound, 6).alias("bound"))
 
@@ -123,6 +125,6 @@ sm AS (SELECT suffix, (x + k * p0) / (n + k) AS ps FROM suffixes, (SELECT k FROM
 dm AS (SELECT domain, d.suffix, (x + k * ps) / (n + k) AS pd FROM domains d JOIN sm USING (suffix), (SELECT k FROM ks WHERE lvl = 'd')),
 hm AS (SELECT host, x + k * pd AS a, n - x + k * (1 - pd) AS b FROM hosts h JOIN dm USING (domain, suffix), (SELECT k FROM ks WHERE lvl = 'h')),
 bounds AS (SELECT host, a / (a + b) - 1.645 * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))) AS bound FROM hm)
-SELECT page_id, host, path, rule, CASE WHEN bad = 1 THEN 'block' WHEN bad = 0 THEN 'allow' WHEN bound >= 0.5 THEN 'block' ELSE 'allow' END AS verdict,
+SELECT page_id, host, path, rule, CASE WHEN bad = 1 THEN 'block' WHEN bad = 0 THEN 'allow' WHEN bound >= (SELECT (sum(x) + 1) / (sum(n) + 2) FROM hosts) THEN 'block' ELSE 'allow' END AS verdict,
   round(CASE WHEN rule IS NULL THEN bound END, 6) AS bound FROM judged JOIN bounds USING (host)
 """

@@ -12,7 +12,9 @@ SOUNDS = {"en": ["th", "ing", "er", "and", "ou"], "de": ["sch", "ein", "ung", "i
 
 
 def prose(rng, lang, n):
-    return " ".join("".join(rng.choice(SOUNDS[lang]) for _ in range(rng.randint(1, 3))) for _ in range(n))
+    """Words of the language's sounds, a quarter of them its function words."""
+    common = language.WORDS[lang].split()
+    return " ".join(rng.choice(common) if rng.random() < 0.25 else "".join(rng.choice(SOUNDS[lang]) for _ in range(rng.randint(1, 3))) for _ in range(n))
 
 
 def test_language(spark):
@@ -35,6 +37,24 @@ def test_language(spark):
     assert language.identify(df.where("doc_id < 0")).collect() == []
 
 
+def test_foreign_texts_and_gibberish_are_rejected(spark):
+    rng = random.Random(12)
+    own = {"en": language.WORDS["en"].split(), "fr": language.WORDS["fr"].split()}
+    rows = []
+    for i in range(200):
+        lang = rng.choice(list(own))
+        # a fifth of the declared tags are wrong: the text decides what the model learns
+        rows.append((i, " ".join(rng.choice(own[lang] + prose(rng, lang, 30).split()) for _ in range(60)), lang if i % 5 else "fr", "h", lang))
+    junk = [" ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(3, 9))) for _ in range(60)) for _ in range(10)]
+    junk += ["это совсем другой язык и другие буквы " * 4, "日本語の文章はここでは知られていない。" * 5, "ez egy másik nyelv amelyet senki sem ismer ezen a helyen " * 4]
+    rows += [(300 + i, t, "en", "h", None) for i, t in enumerate(junk)]
+    df = spark.createDataFrame([r[:4] for r in rows], "doc_id long, text string, lang string, source string")
+    by = {r.doc_id: r for r in language.identify(df).collect()}
+    assert all(by[i].kept and by[i].lang == lang for i, _, _, _, lang in rows if lang)
+    assert not any(by[i].kept for i, *_, lang in rows if not lang) and by[300].lang == language.OTHER
+    assert language.claims(__import__("pyarrow").array(["the cat of the house and", "x q z", None, "el perro y los gatos de la casa"])) == ["en", None, None, "es"]
+
+
 def test_host_and_declared_tag_decide_without_text(spark):
     rng = random.Random(2)
     rows = [(i, prose(rng, "de" if i % 2 else "fr", 40), "de" if i % 2 else "fr", "a.de" if i % 2 else "a.fr") for i in range(80)]
@@ -68,6 +88,8 @@ def test_toxicity_locates_sentences(spark):
         if r.predicted and y[r.doc_id]:
             assert "zzyzx" in text[r.doc_id][r.worst_start : r.worst_end] and r.n_offending >= 1
     assert by[2000].score == by[2001].score == by[2002].score and by[2003].score == by[0].score
+    few = toxicity.train(docs.select(docs.doc_id.alias("id"), "text"), marks.selectExpr("doc_id as id", "toxic as y"), room=1 << 14)
+    assert few.weights.any() and few.prior is None  # a sample of bounded bytes still teaches
     none = toxicity.toxicity(docs, marks.where("toxic = 0")).collect()
     assert {r.score for r in none} == {0.0}
     assert toxicity.toxicity(docs.where("doc_id < 0"), marks).collect() == []
