@@ -40,7 +40,7 @@ from . import text
 from .common import components, cut, forget, slices
 
 K, T, R = 5, 128, 10
-NODE, FAMILY, DEPTH, PIVOTS = 1024, 2048, 12, 32
+NODE, FAMILY, DEPTH, PIVOTS = 1024, 256, 12, 32
 #: Shingles that the sets of one leaf may have together (8 bytes each).
 LEAF_SHINGLES = 4_000_000
 _A = np.random.default_rng(7).integers(1, 2**63, T // 2, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -301,7 +301,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = cut(families.join(reps.select("id", "n", "rep", "k1", "k2"), families["node"] == reps["id"]).select(F.col("label").alias("root"), "id", "n", "rep", "k1", "k2"))
     forget(families)
     sizes = cut(members.groupBy("root").agg(F.count("*").alias("many"), F.sum("n").alias("total")))
-    parts = F.expr(f"if(many <= {family} and total <= {LEAF_SHINGLES}, 1L, ceil(greatest(many * 4 / {family}, total * 2 / {LEAF_SHINGLES})))")
+    parts = F.expr(f"if(many <= {family} and total <= {LEAF_SHINGLES}, 1L, ceil(greatest(many * 2 / {family}, total * 2 / {LEAF_SHINGLES})))")
     # members grow with the texts, so they are never broadcast: the plan is the same at every size
     texts = rows.join(members.select(F.col("rep").alias("rid"), F.col("id").alias("class"), "k1", "k2").hint("merge"), F.col("id") == F.col("rid")).select(F.col("class").alias("id"), "k1", "k2", "text")
     sets = texts.mapInArrow(_sets(k), "id long, shingles binary").dropDuplicates(["id"])
