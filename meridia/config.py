@@ -16,7 +16,7 @@ class Decomposition:
     init: str = "exponential"
     noise_channels: int = 1
     noise_std: float = 0.8
-    seed: int = 0xC0FFEE
+    seed: int = 417
 
 
 @dataclass
@@ -32,7 +32,7 @@ class Classification:
 class Groups:
     permutations: int = 10_000
     primary_t: float = 3.1
-    seed: int = 0x00C0FFEEC0FFEE00
+    seed: int = 20_260
 
 
 @dataclass

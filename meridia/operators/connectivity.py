@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,7 +12,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from meridia.functions.series import fisher_z, pearson
+from meridia.operators.ranges import cut_points, running
 
+#: Bytes that the shuffled labels of a study may take.
+LABELS = 256 << 20
 #: The slow frequency bands, [low, high) in Hz.
 BANDS = (("slow_5", 0.010, 0.027), ("slow_4", 0.027, 0.073), ("slow_3", 0.073, 0.198), ("slow_2_trunc", 0.198, 0.250))
 
@@ -47,7 +51,7 @@ def edges_gram(runs: DataFrame, keys: list[str], schema: str) -> DataFrame:
             parts = []
             for c in batch.column("c"):
                 channel = c.values.field("channel").to_numpy(zero_copy_only=False)
-                x = np.array(c.values.field("x").to_pylist(), float)
+                x = c.values.field("x").flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(channel), -1)
                 x -= x.mean(1, keepdims=True)
                 sd = np.sqrt((x * x).mean(1))
                 i, j = np.triu_indices(len(x))
@@ -91,35 +95,112 @@ def welch(z: DataFrame, keys: list[str], case: Column, value: str = "z") -> Data
     return out.select(*keys, F.when(few, 0.0).otherwise(F.coalesce(F.try_divide(F.col("m1") - F.col("m0"), se), F.lit(0.0))).alias("t"))
 
 
-def shuffled_labels(subjects: DataFrame, permutations: int, seed: int = 42) -> DataFrame:
-    """perm, subject, is_case: in each permutation the first n_case subjects by md5 are cases."""
-    n = subjects.agg(F.sum(F.col("is_case").cast("int"))).scalar()
-    w = Window.partitionBy("perm").orderBy(F.md5(F.concat(F.lit(f"{seed}:"), "perm", F.lit(":"), "subject")))
-    each = subjects.select("subject", F.explode(F.sequence(F.lit(0), F.lit(permutations - 1))).alias("perm"))
-    return each.select("perm", "subject", (F.row_number().over(w) <= n).alias("is_case"))
-
-
-def permutation_ts(z: DataFrame, subjects: DataFrame, permutations: int, seed: int = 42) -> DataFrame:
-    """perm, i, j, t under shuffled labels; z: subject, i, j, z."""
-    return welch(z.join(shuffled_labels(subjects, permutations, seed), "subject"), ["perm", "i", "j"], F.col("is_case"))
+def shuffled_labels(spark, subjects: list, cases: int, permutations: int, seed: int = 42) -> np.ndarray:
+    """(permutations, subjects) of who is a case: in each permutation the first by md5.
 
+    Their size is set by parameters: permutations and the subjects of one study, a bit each; LABELS bytes at most.
+    """
+    if permutations * len(subjects) > 8 * LABELS:
+        raise ValueError(f"{permutations} permutations of {len(subjects)} subjects need over {LABELS} bytes")
 
-def permutation_p(observed: DataFrame, null: DataFrame, permutations: int) -> DataFrame:
-    """Uncorrected p by edge, (1 + exceedances) / (B + 1), and family-wise p against the largest |t|."""
-    per_edge = null.join(observed.withColumnRenamed("t", "obs"), ["i", "j"])
-    counts = per_edge.groupBy("i", "j").agg(F.sum((F.abs("t") >= F.abs("obs")).cast("int")).alias("hits"))
-    largest = null.groupBy("perm").agg(F.max(F.abs("t")).alias("top")).agg(F.sort_array(F.collect_list("top")).alias("tops"))
-    out = observed.join(counts, ["i", "j"]).withColumn("tops", largest.scalar())  # permutations values: a parameter
-    top = F.size(F.filter("tops", lambda v: v >= F.abs(F.col("t"))))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for b in batch.column("id").to_pylist():
+                order = sorted(range(len(subjects)), key=lambda k: hashlib.md5(f"{seed}:{b}:{subjects[k]}".encode()).digest())
+                case = np.zeros(len(subjects), bool)
+                case[order[:cases]] = True
+                rows.append(np.packbits(case).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(rows, pa.binary())], names=["perm", "bits"])
+
+    got = spark.range(permutations).mapInArrow(run, "perm long, bits binary").toArrow().sort_by("perm")
+    return np.unpackbits(np.frombuffer(b"".join(got["bits"].to_pylist()), np.uint8).reshape(permutations, -1), axis=1, count=len(subjects)).astype(bool)
+
+
+def welch_matrix(x: np.ndarray, cases: np.ndarray) -> np.ndarray:
+    """Welch's t of edges x (edges, subjects; NaN: missing) for each row of cases (labellings, subjects)."""
+    there = ~np.isnan(x)
+    n = there.sum(1, keepdims=True)
+    x = np.where(there, x, 0)
+    x = np.where(there, x - x.sum(1, keepdims=True) / np.maximum(n, 1), 0)
+    label = cases.T.astype(float)
+    n1, s1, q1 = there @ label, x @ label, (x * x) @ label
+    n0, s0, q0 = n - n1, x.sum(1, keepdims=True) - s1, (x * x).sum(1, keepdims=True) - q1
+    with np.errstate(divide="ignore", invalid="ignore"):
+        square = sum(np.maximum(0, (q - s * s / m) / (m - 1)) / m for m, s, q in ((n1, s1, q1), (n0, s0, q0)))
+        t = (s1 / n1 - s0 / n0) / np.sqrt(square)
+    floor = 1e-24 * (x * x).sum(1, keepdims=True)
+    return np.where((n1 < 2) | (n0 < 2) | ~(square > floor), 0, t)
+
+
+def permuted(z: DataFrame, subjects: DataFrame, permutations: int, seed: int = 42, primary: float | None = None, blocks: int = 256) -> DataFrame:
+    """Group statistics of edges z (subject, i, j, z) under shuffled labels of subjects (subject, is_case), as rows by kind:
+
+    edge: i, j, t, hits (permutations whose |t| reaches the edge's); top: perm and the largest |t| of a block of edges;
+    over: perm (-1: as observed), i, j of edges with |t| >= primary.
+
+    Edges are shuffled once, by block, whatever the number of permutations; a task meets the label matrix with its
+    block's edges in matrix products.
+    """
+    people = subjects.orderBy("subject").toArrow()
+    names, case = people["subject"].to_pylist(), np.array(people["is_case"].to_pylist(), bool)
+    spark = z.sparkSession
+    sent = spark.sparkContext.broadcast((names, case, shuffled_labels(spark, names, int(case.sum()), permutations, seed)))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        names, case, labels = sent.value
+        place = pd.Series(range(len(names)), index=names)
+        code, pairs = pd.factorize(pd.MultiIndex.from_frame(pdf[["i", "j"]]))
+        x = np.full((len(pairs), len(names)), np.nan)
+        x[code, place.reindex(pdf["subject"]).to_numpy()] = pdf["z"].to_numpy(float)
+        i, j = (pairs.get_level_values(c).to_numpy() for c in (0, 1))
+        observed = welch_matrix(x, case[None])[:, 0]
+        hits, parts = np.zeros(len(i), np.int64), []
+
+        def over(t: np.ndarray, first: int) -> None:
+            at, perm = np.nonzero(np.abs(t) >= primary)
+            parts.append(pd.DataFrame({"kind": "over", "perm": perm + first, "i": i[at], "j": j[at], "t": t[at, perm], "hits": 0}))
+
+        if primary is not None:
+            over(observed[:, None], -1)
+        for first in range(0, permutations, 256):
+            t = welch_matrix(x, labels[first : first + 256])
+            size = np.abs(t)
+            hits += (size >= np.abs(observed)[:, None] * (1 - 1e-12)).sum(1)
+            parts.append(pd.DataFrame({"kind": "top", "perm": np.arange(first, first + t.shape[1]), "i": 0, "j": 0, "t": size.max(0), "hits": 0}))
+            if primary is not None:
+                over(t, first)
+        parts.append(pd.DataFrame({"kind": "edge", "perm": -1, "i": i, "j": j, "t": observed, "hits": hits}))
+        return pd.concat(parts, ignore_index=True)
+
+    kinds = dict(z.dtypes)
+    schema = f"kind string, perm long, i {kinds['i']}, j {kinds['j']}, t double, hits long"
+    block = F.pmod(F.xxhash64("i", "j"), F.lit(blocks)).alias("block")
+    return z.select("subject", "i", "j", F.col("z").cast("double").alias("z"), block).groupBy("block").applyInPandas(run, schema)
+
+
+def permutation_p(stats: DataFrame, permutations: int) -> DataFrame:
+    """i, j, t, uncorrected p (1 + hits) / (B + 1), and family-wise p against the largest |t|, from permuted()."""
+    largest = stats.where("kind = 'top'").groupBy("perm").agg(F.max("t").alias("top")).agg(F.sort_array(F.collect_list("top")).alias("tops"))
+    out = stats.where("kind = 'edge'").withColumn("tops", largest.scalar())  # permutations values: a parameter
+    top = F.size(F.filter("tops", lambda v: v >= F.abs(F.col("t")) * (1 - 1e-12)))
     return out.select("i", "j", "t", ((1 + F.col("hits")) / (permutations + 1)).alias("p_uncorr"), ((1 + top) / (permutations + 1)).alias("p_fwer"))
 
 
 def bh_fdr(p: DataFrame, column: str, tie: list[str], by: list[str] | None = None) -> DataFrame:
-    """q: min(1, p * n / rank), made monotone from the largest p down."""
-    part = Window.partitionBy(*(by or [F.lit(1)]))
-    ranked = p.withColumn("_rank", F.row_number().over(part.orderBy(column, *tie))).withColumn("_n", F.count("*").over(part))
-    down = part.orderBy(F.col("_rank").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return ranked.withColumn("q", F.min(F.least(F.lit(1.0), F.col(column) * F.col("_n") / F.col("_rank"))).over(down)).drop("_rank", "_n")
+    """q: min(1, p * n / rank), made monotone from the largest p down; in each group of by, or over the whole table by ranges of p."""
+    if by:
+        part = Window.partitionBy(*by)
+        ranked = p.withColumn("_rank", F.row_number().over(part.orderBy(column, *tie))).withColumn("_n", F.count("*").over(part))
+        down = part.orderBy(F.col("_rank").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        return ranked.withColumn("q", F.min(F.least(F.lit(1.0), F.col(column) * F.col("_n") / F.col("_rank"))).over(down)).drop("_rank", "_n")
+    ranked = running(p.withColumn("_one", F.lit(1)), column, ["_one"], cut_points(p, column), tie, down=False)
+    ranked = ranked.withColumn("_raw", F.least(F.lit(1.0), F.col(column) * F.col("_one_all") / F.col("_one_to")))
+    beyond = Window.orderBy("range_").rowsBetween(1, Window.unboundedFollowing)  # a row a range
+    later = ranked.groupBy("range_").agg(F.min("_raw").alias("_least")).select("range_", F.min("_least").over(beyond).alias("_later"))
+    down = Window.partitionBy("range_").orderBy(F.col("_one_to").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = ranked.join(F.broadcast(later), "range_").withColumn("q", F.least(F.min("_raw").over(down), F.col("_later")))
+    return out.select(*p.columns, "q")
 
 
 def components(edges: DataFrame, keys: list[str]) -> DataFrame:

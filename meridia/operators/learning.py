@@ -43,6 +43,22 @@ def distances(q: np.ndarray, x: np.ndarray, metric: str) -> np.ndarray:
     return np.sqrt(np.maximum((q * q).sum(1)[:, None] + (x * x).sum(1) - 2 * dots, 0))
 
 
+def _best(d: np.ndarray, ids: np.ndarray, y: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k least distances of each row with their ids and labels, in order; ties go to the least id."""
+    if d.shape[1] > 4 * k:
+        edge = np.partition(d, k - 1, axis=1)[:, k - 1 : k]
+        most = int((d <= edge).sum(1).max())  # k, or more where distances tie
+        near = np.argpartition(d, most - 1, axis=1)[:, :most]
+        d, ids, y = (np.take_along_axis(x, near, 1) for x in (d, ids, y))
+    order = np.lexsort((ids, d), axis=1)[:, :k]
+    return tuple(np.take_along_axis(x, order, 1) for x in (d, ids, y))
+
+
+def vectors(col: pa.Array) -> np.ndarray:
+    """(rows, dimensions) of a column of equally long arrays, from its flat values."""
+    return col.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(col), -1) if len(col) else np.zeros((0, 0))
+
+
 def nearest(train: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", block: int = 4096) -> DataFrame:
     """query, rank, id, y, distance: the k nearest rows of train (id, y, v) for each of queries (id, v); never itself.
 
@@ -51,25 +67,25 @@ def nearest(train: DataFrame, queries: DataFrame, k: int, metric: str = "cosine"
     """
     spark = train.sparkSession
     out = None
-    n = queries.count()
-    for part in range(-(-n // block) or 1):
-        got = queries.where(F.pmod(F.xxhash64("id"), F.lit(max(1, -(-n // block)))) == part).toArrow()
-        sent = spark.sparkContext.broadcast((got["id"].to_numpy(), np.array(got["v"].to_pylist(), float)))
+    blocks = max(1, -(-queries.count() // block))
+    for part in range(blocks):
+        got = queries.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == part).toArrow().combine_chunks()
+        sent = spark.sparkContext.broadcast((got["id"].to_numpy(), vectors(got["v"].combine_chunks()) if got.num_rows else np.zeros((0, 0))))
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             ids, q = sent.value
-            best: list[list[tuple]] = [[] for _ in ids]
+            d, own, y = np.zeros((len(ids), 0)), np.zeros((len(ids), 0), np.int64), np.zeros((len(ids), 0), np.int64)
             for batch in batches:
-                if not batch.num_rows or not len(ids):
-                    continue
-                own, y = batch.column("id").to_numpy(zero_copy_only=False), batch.column("y").to_pylist()
-                d = distances(q, np.array(batch.column("v").to_pylist(), float), metric)
-                d[ids[:, None] == own] = np.inf
-                top = np.argsort(d, axis=1, kind="stable")[:, : k + 1]
-                for i, row in enumerate(top):
-                    best[i] = sorted(best[i] + [(d[i, j], own[j], y[j]) for j in row if np.isfinite(d[i, j])])[:k]
-            rows = [(ids[i], o, y, float(v)) for i, b in enumerate(best) for v, o, y in b]
-            cols = list(zip(*rows)) or [[], [], [], []]
+                for at in range(0, batch.num_rows if len(ids) else 0, 4096):
+                    rows = batch.slice(at, 4096)
+                    new = rows.column("id").to_numpy(zero_copy_only=False)
+                    far = distances(q, vectors(rows.column("v")), metric)
+                    far[ids[:, None] == new] = np.inf
+                    label = rows.column("y").to_numpy(zero_copy_only=False).astype(np.int64)
+                    wide = [np.concatenate([x, np.broadcast_to(z, far.shape)], axis=1) for x, z in ((d, far), (own, new), (y, label))]
+                    d, own, y = _best(*wide, k)
+            keep = np.isfinite(d)
+            cols = np.repeat(ids, keep.sum(1)), own[keep], y[keep], d[keep]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.float64()))], names=["query", "id", "y", "distance"])
 
         found = train.select("id", "y", "v").mapInArrow(run, "query long, id long, y int, distance double")
@@ -109,33 +125,44 @@ def pca(x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     return mean, np.linalg.svd(x - mean, full_matrices=False)[2][:k]
 
 
-def platt(p: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """a, b of sigmoid(a s + b) by damped Newton on smoothed targets; (1, 0) where nothing can be fitted."""
-    pos, neg = int((y == 1).sum()), int((y != 1).sum())
-    if len(p) < 4 or not pos or not neg or not np.isfinite(p).all() or p.var() < 1e-12:
-        return 1.0, 0.0
-    t = np.where(y == 1, (pos + 1) / (pos + 2), 1 / (neg + 2))
-    a, b, damp = 0.0, np.log((pos + 1) / (neg + 1)), 1e-3
-
-    def loss(a: float, b: float) -> float:
-        z = a * p + b
-        return float((np.logaddexp(0, z) - t * z).sum())
-
-    now = loss(a, b)
-    for _ in range(100):
-        q = 1 / (1 + np.exp(-(a * p + b)))
-        g = np.array([((q - t) * p).sum(), (q - t).sum()])
-        if np.abs(g).max() < 1e-7:
-            break
-        r = q * (1 - q)
-        h = np.array([[(r * p * p).sum(), (r * p).sum()], [(r * p).sum(), r.sum()]])
-        for _ in range(10):
-            step = np.linalg.solve(h + damp * np.eye(2), g)
-            new = loss(a - step[0], b - step[1])
-            if new <= now:
-                a, b, now, damp = a - step[0], b - step[1], new, damp * 0.5
+def platt(df: DataFrame, rounds: int = 30) -> tuple[float, float]:
+    """a, b of sigmoid(a p + b) for rows (y, p) with smoothed targets; (1, 0) where nothing can be fitted.
+
+    Iteratively reweighted least squares: a round is one aggregation of five sums, so the driver holds no rows.
+    A step that makes the loss worse is halved.
+    """
+    by = df.where(~F.isnan("p") & (F.abs("p") < float("inf"))).groupBy("p").agg(F.sum((F.col("y") == 1).cast("double")).alias("one"), F.count("*").cast("double").alias("n"))
+    by = by.persist()  # a row a distinct score
+    try:
+        r = by.agg(F.sum("one").alias("one"), F.sum("n").alias("n"), F.sum(F.col("n") * F.col("p")).alias("s"), F.sum(F.col("n") * F.col("p") * F.col("p")).alias("q")).first()
+        if not r.n or r.n < 4 or r.one in (0, r.n) or r.q / r.n - (r.s / r.n) ** 2 < 1e-12:
+            return 1.0, 0.0
+        high, low = (r.one + 1) / (r.one + 2), 1 / (r.n - r.one + 2)
+        target = F.col("one") * high + (F.col("n") - F.col("one")) * low  # expected positives at the score
+
+        def sums(a: float, b: float):
+            z = F.lit(a) * F.col("p") + b
+            q = 1 / (1 + F.exp(-z))
+            weight, miss = F.col("n") * q * (1 - q), target - F.col("n") * q
+            loss = F.col("n") * (F.greatest(z, F.lit(0.0)) + F.log1p(F.exp(-F.abs(z)))) - target * z
+            cols = loss, miss, miss * F.col("p"), weight, weight * F.col("p"), weight * F.col("p") * F.col("p")
+            return by.agg(*[F.sum(c) for c in cols]).first()
+
+        a, b = 0.0, float(np.log(r.one / (r.n - r.one)))
+        now = sums(a, b)
+        for _ in range(rounds):
+            _, m0, m1, w0, w1, w2 = now
+            step = np.linalg.lstsq(np.array([[w2, w1], [w1, w0]]), np.array([m1, m0]), rcond=None)[0]
+            new, size = None, 1.0
+            while size > 1e-4 and (new is None or new[0] > now[0]):
+                new, to = sums(a + size * step[0], b + size * step[1]), (a + size * step[0], b + size * step[1])
+                size /= 2
+            if new[0] > now[0]:
+                break
+            done = now[0] - new[0] <= 1e-12 * abs(now[0])
+            (a, b), now = to, new
+            if done:
                 break
-            damp *= 4
-        else:
-            break
-    return float(a), float(b)
+        return float(a), float(b)
+    finally:
+        by.unpersist()

@@ -57,12 +57,15 @@ def slice_blocks(blocks: DataFrame, runs: DataFrame, keys: list[str], tr: float)
     return out.withColumn("x", F.expr("slice(x, first + 1, stop - first)"))
 
 
-def parcel_means(voxels: DataFrame, labels: DataFrame) -> DataFrame:
-    """label, t, x: mean value of each label at each time; labels without voxels are 0."""
-    times = voxels.select("t").distinct()
+def parcel_means(voxels: DataFrame, labels: DataFrame, most: int = 100_000) -> DataFrame:
+    """label, t, x: mean value of each label at each time; labels without voxels are 0. labels is an atlas, of at most `most` rows."""
+    if labels.limit(most + 1).count() > most:
+        raise ValueError(f"an atlas of over {most} labels")
     means = voxels.where("label != 0").groupBy("label", "t").agg(F.avg("value").alias("m"))
-    # labels is the atlas: a few hundred rows, checked by the caller
-    return times.crossJoin(labels.select("label")).join(means, ["label", "t"], "left").select("label", "t", F.coalesce("m", F.lit(0.0)).alias("x"))
+    times = voxels.select("t").distinct()
+    names = labels.agg(F.collect_list("label").alias("l")).scalar()  # checked above
+    grid = times.withColumn("l", names).select("t", F.explode("l").alias("label"))
+    return grid.join(means, ["label", "t"], "left").select("label", "t", F.coalesce("m", F.lit(0.0)).alias("x"))
 
 
 def label_index(voxels: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from meridia.operators.ranges import cut_points, range_of, running
+
 EPS, BINS, SWEEP = 1e-7, 10, (0.3, 0.4, 0.5, 0.6, 0.7)
 
 
@@ -44,14 +46,10 @@ def log_loss() -> Column:
 
 
 def curve(df: DataFrame) -> DataFrame:
-    """p, tp, fp, pos, neg: counts at or above each distinct finite score, from the highest down.
-
-    Rows are combined by score before the window, whose size is the number of distinct scores.
-    """
+    """p, tp, fp, pos, neg, a, b: counts at or above each distinct finite score, from the highest down; a, b: at the score."""
     by = finite(df).groupBy("p").agg(F.sum((F.col("y") == 1).cast("long")).alias("a"), F.sum((F.col("y") != 1).cast("long")).alias("b"))
-    down = Window.orderBy(F.col("p").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    every = Window.partitionBy()
-    return by.select("p", F.sum("a").over(down).alias("tp"), F.sum("b").over(down).alias("fp"), F.sum("a").over(every).alias("pos"), F.sum("b").over(every).alias("neg"))
+    out = running(by, "p", ["a", "b"], cut_points(by, "p"))
+    return out.select("p", F.col("a_to").alias("tp"), F.col("b_to").alias("fp"), F.col("a_all").alias("pos"), F.col("b_all").alias("neg"), "a", "b")
 
 
 def roc(df: DataFrame) -> DataFrame:
@@ -65,11 +63,17 @@ def pr(df: DataFrame) -> DataFrame:
     return curve(df).where("pos > 0").select("p", (F.col("tp") / F.col("pos")).alias("recall"), (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"))
 
 
-def trapezoid(points: DataFrame, x: str, y: str, first_x: float, first_y: Column) -> Column | DataFrame:
-    """Area under y over x, from the highest score down."""
-    w = Window.orderBy(F.col("p").desc())
-    steps = points.select((F.col(x) - F.lag(x, 1, first_x).over(w)).alias("dx"), ((F.col(y) + F.coalesce(F.lag(y).over(w), first_y)) / 2).alias("m"))
-    return steps.agg(F.sum(F.col("dx") * F.col("m")).alias("auc"))
+def auc_roc(df: DataFrame) -> DataFrame:
+    """Trapezoids under the curve: each point's own counts lead back to the point before it."""
+    area = F.col("b") / F.col("neg") * (2 * F.col("tp") - F.col("a")) / (2 * F.col("pos"))
+    return curve(df).where("pos > 0 and neg > 0").agg(F.sum(area).alias("auc"))
+
+
+def auc_pr(df: DataFrame) -> DataFrame:
+    """Trapezoids of precision over recall; before the first point its own precision holds."""
+    here = F.col("tp") / (F.col("tp") + F.col("fp"))
+    before = F.try_divide(F.col("tp") - F.col("a"), F.col("tp") - F.col("a") + F.col("fp") - F.col("b"))
+    return curve(df).where("pos > 0").agg(F.sum(F.col("a") / F.col("pos") * (here + F.coalesce(before, here)) / 2).alias("auc"))
 
 
 def bins(df: DataFrame, n: int = BINS) -> DataFrame:
@@ -93,9 +97,8 @@ def candidates(df: DataFrame) -> DataFrame:
     ends = df.sparkSession.range(2).select(F.col("id").cast("double").alias("p"), F.lit(None).cast("int").alias("y"))
     rows = finite(df).select("p", F.col("y").cast("int").alias("y")).union(ends)
     by = rows.groupBy("p").agg(F.sum((F.coalesce(F.col("y"), F.lit(-1)) == 1).cast("long")).alias("a"), F.sum((F.coalesce(F.col("y"), F.lit(-1)) == 0).cast("long")).alias("b"))
-    down = Window.orderBy(F.col("p").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    every = Window.partitionBy()
-    c = by.select("p", F.sum("a").over(down).alias("tp"), F.sum("b").over(down).alias("fp"), F.sum("a").over(every).alias("pos"), F.sum("b").over(every).alias("neg"))
+    out = running(by, "p", ["a", "b"], cut_points(by, "p"))
+    c = out.select("p", F.col("a_to").alias("tp"), F.col("b_to").alias("fp"), F.col("a_all").alias("pos"), F.col("b_all").alias("neg"))
     return c.select("p", "tp", "fp", (F.col("neg") - F.col("fp")).alias("tn"), (F.col("pos") - F.col("tp")).alias("fn"))
 
 
@@ -122,36 +125,83 @@ def at_specificity(df: DataFrame, target: float) -> DataFrame:
 
 
 def isotonic(df: DataFrame) -> DataFrame:
-    """p, y_hat: non-decreasing fit of mean y by distinct score, as max over a <= i of min over b >= i of mean(a..b).
+    """p, y_hat: non-decreasing fit of mean y by distinct score: adjacent violators are pooled.
 
-    Exact on the distinct scores, pooled before; their number, not the rows, sets the cost.
+    Pools of a range of scores are pools of any larger range's pooling too, so each range is pooled in a task of its own, and
+    one last pass pools the ranges' pools, a few figures each. The pools then go back to the scores of their ranges.
     """
     by = finite(df).groupBy("p").agg(F.sum(F.col("y").cast("double")).alias("s"), F.count("*").alias("n"))
-    packed = by.agg(F.array_sort(F.collect_list(F.struct("p", "s", "n"))).alias("a"))
-    pool = F.udf(_pav, "array<struct<p:double,y_hat:double>>", useArrow=False)
-    return packed.select(F.explode(pool("a")).alias("r")).select("r.*")
-
-
-def _pav(rows: list) -> list[tuple[float, float]]:
-    """Pool adjacent violators."""
+    points = cut_points(by, "p")
+    by = by.withColumn("range_", range_of(F.col("p"), points))
+    pool = F.udf(_pav, "array<struct<p:double,s:double,n:long>>", useArrow=False)
+    first = by.groupBy("range_").agg(pool(F.array_sort(F.collect_list(F.struct("p", "s", "n")))).alias("a"))
+    last = first.agg(pool(F.array_sort(F.flatten(F.collect_list("a")))).alias("a")).select(F.explode("a").alias("r"))
+    fit = last.select("r.p", (F.col("r.s") / F.col("r.n")).alias("m"), range_of(F.col("r.p"), points).alias("range_"))
+    # the value of a score: the last pool that begins at or below it, in its range or carried in from those before
+    carried = fit.groupBy("range_").agg(F.max_by("m", "p").alias("end"))
+    ranges = df.sparkSession.range(len(points) + 1).select(F.col("id").cast("int").alias("range_"))
+    w = Window.orderBy("range_").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
+    carried = ranges.join(carried, "range_", "left").select("range_", F.last("end", True).over(w).alias("carried"))
+    inside = Window.partitionBy("range_").orderBy("p").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    own = by.select("p", "range_").join(fit, ["p", "range_"], "left").join(F.broadcast(carried), "range_")
+    return own.select("p", F.coalesce(F.last("m", True).over(inside), "carried").alias("y_hat"))
+
+
+def _pav(rows: list) -> list[tuple[float, float, int]]:
+    """Pools of rows (first score, sum, count) in order."""
     pools: list[list] = []
     for p, s, n in rows:
-        pools.append([s, n, [p]])
-        while len(pools) > 1 and pools[-2][0] * pools[-1][1] > pools[-1][0] * pools[-2][1]:
-            s2, n2, p2 = pools.pop()
-            pools[-1][0] += s2
-            pools[-1][1] += n2
-            pools[-1][2] += p2
-    return [(p, s / n) for s, n, ps in pools for p in ps]
+        pools.append([p, s, n])
+        while len(pools) > 1 and pools[-2][1] * pools[-1][2] > pools[-1][1] * pools[-2][2]:
+            _, s2, n2 = pools.pop()
+            pools[-1][1] += s2
+            pools[-1][2] += n2
+    return [tuple(x) for x in pools]
 
 
 def isotonic_transform(df: DataFrame, fit: DataFrame) -> DataFrame:
-    """df with calibrated p: linear between fitted scores, constant outside; fit is one row a distinct score."""
-    points = fit.agg(F.array_sort(F.collect_list(F.struct("p", "y_hat"))).alias("f")).scalar()
-    rows = df.withColumn("f", points)
-    low = F.try_element_at(F.filter("f", lambda s: s["p"] <= F.col("p")), F.lit(-1))
-    high = F.try_element_at(F.filter("f", lambda s: s["p"] >= F.col("p")), F.lit(1))
-    share = F.coalesce(F.try_divide(F.col("p") - F.col("_l.p"), F.col("_h.p") - F.col("_l.p")), F.lit(0.0))
-    out = rows.withColumn("_l", low).withColumn("_h", high)
-    value = F.when(F.col("_l").isNull(), F.col("_h.y_hat")).when(F.col("_h").isNull(), F.col("_l.y_hat")).otherwise(F.col("_l.y_hat") + share * (F.col("_h.y_hat") - F.col("_l.y_hat")))
-    return out.withColumn("calibrated", value).drop("f", "_l", "_h")
+    """df with calibrated p: linear between fitted scores, constant outside; fit is one row a distinct score.
+
+    Without a fit, of fewer than four rows or one class, scores stay (see calibrate()). Rows and fitted scores are ordered
+    together in each range of scores; the neighbours beyond a range's ends are carried in, a row a range.
+    """
+    points = cut_points(fit, "p")
+    knots = fit.withColumn("range_", range_of(F.col("p"), points))
+    ends = knots.groupBy("range_").agg(F.min(F.struct("p", "y_hat")).alias("low"), F.max(F.struct("p", "y_hat")).alias("high"))
+    ranges = df.sparkSession.range(len(points) + 1).select(F.col("id").cast("int").alias("range_"))
+    w = Window.orderBy("range_")
+    near = ranges.join(ends, "range_", "left").select(
+        "range_",
+        F.last("high", True).over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("before"),
+        F.first("low", True).over(w.rowsBetween(1, Window.unboundedFollowing)).alias("after"),
+    )
+    rows = df.select(F.col("p"), F.struct(*df.columns).alias("row"), F.lit(None).cast("struct<p:double,y_hat:double>").alias("knot"))
+    rows = rows.unionByName(knots.select("p", F.lit(None).cast(rows.schema["row"].dataType).alias("row"), F.struct("p", "y_hat").alias("knot")))
+    rows = rows.withColumn("range_", range_of(F.col("p"), points)).join(F.broadcast(near), "range_")
+    by = Window.partitionBy("range_").orderBy("p")
+    low = F.coalesce(F.last("knot", True).over(by.rangeBetween(Window.unboundedPreceding, Window.currentRow)), "before")
+    high = F.coalesce(F.first("knot", True).over(by.rangeBetween(Window.currentRow, Window.unboundedFollowing)), "after")
+    out = rows.withColumn("low", low).withColumn("high", high).where("row is not null")
+    share = F.coalesce(F.try_divide(F.col("p") - F.col("low.p"), F.col("high.p") - F.col("low.p")), F.lit(0.0))
+    value = F.when(F.col("low").isNull(), F.col("high.y_hat")).when(F.col("high").isNull(), F.col("low.y_hat")).otherwise(F.col("low.y_hat") + share * (F.col("high.y_hat") - F.col("low.y_hat")))
+    return out.select("row.*", value.alias("calibrated"))
+
+
+def fittable(df: DataFrame) -> bool:
+    """Whether a calibrator can be fitted: four rows, both classes."""
+    r = finite(df).agg(F.count("*").alias("n"), F.countDistinct("y").alias("classes")).first()
+    return r.n >= 4 and r.classes > 1
+
+
+def calibrate(df: DataFrame, calibration: DataFrame, kind: str = "auto", enough: int = 1000) -> DataFrame:
+    """df (p) with calibrated: isotonic from enough calibration rows on, else Platt's sigmoid, or as kind says; p itself where nothing can be fitted."""
+    from meridia.operators.learning import platt
+
+    if not fittable(calibration):
+        return df.withColumn("calibrated", F.col("p"))
+    if kind == "auto":
+        kind = "isotonic" if finite(calibration).count() >= enough else "platt"
+    if kind == "isotonic":
+        return isotonic_transform(df, isotonic(calibration))
+    a, b = platt(calibration)
+    return df.withColumn("calibrated", 1 / (1 + F.exp(-(F.lit(a) * F.col("p") + b))))

@@ -6,6 +6,7 @@ Array kernels only; meridia.plans applies them per channel or run in Arrow batch
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 
 FS, F_MIN, F_MAX, SCALES, OMEGA = 1.25, 0.010, 0.250, 224, 6.0
 
@@ -74,13 +75,13 @@ def start_frequencies(k: int, kind: str = "exponential", custom: np.ndarray | No
     return 0.5 * 10 ** (-3 + 3 * np.arange(k) / max(1, k - 1))
 
 
-def mvmd(x: np.ndarray, modes: int = 10, alpha: float = 1000.0, tol: float = 1e-8, tau: float = 1e-3, most: int = 500, init: str = "exponential", fs: float = FS, noise: int = 0, noise_std: float = 0.8, seed: int = 0xC0FFEE) -> tuple[np.ndarray, np.ndarray, int]:
+def mvmd(x: np.ndarray, modes: int = 10, alpha: float = 1000.0, tol: float = 1e-8, tau: float = 1e-3, most: int = 500, init: str | np.ndarray = "exponential", fs: float = FS, noise: int = 0, noise_std: float = 0.8, seed: int = 417) -> tuple[np.ndarray, np.ndarray, int]:
     """Multivariate variational mode decomposition of channels x time.
 
     Returns modes (K, C, T) by rising centre frequency, centre frequencies in Hz and the number of
     iterations. noise > 0 gives the noise-assisted variant: channels get unit variance, that many white
     noise channels are added for the iteration and dropped from the result, and centres subtract the
-    flat spectrum of the noise.
+    flat spectrum of the noise. init: how the centres begin, or their values.
     """
     channels, t = x.shape
     scale = np.ones(channels)
@@ -93,7 +94,7 @@ def mvmd(x: np.ndarray, modes: int = 10, alpha: float = 1000.0, tol: float = 1e-
     padded = np.concatenate([x[:, :left][:, ::-1], x, x[:, left:][:, ::-1]], axis=1)
     target = np.fft.fft(padded, axis=1)[:, : t + 1]
     f = 0.5 * np.arange(t + 1) / t
-    omega, u = start_frequencies(modes, init), np.zeros((modes, *target.shape), complex)
+    omega, u = start_frequencies(modes, init) if isinstance(init, str) else start_frequencies(modes, "custom", init), np.zeros((modes, *target.shape), complex)
     dual, total = np.zeros_like(target), np.zeros_like(target)
     change, n = np.inf, 0
     while n < most and change > tol:
@@ -124,6 +125,14 @@ def mvmd(x: np.ndarray, modes: int = 10, alpha: float = 1000.0, tol: float = 1e-
     return out * scale[:, None], omega[order] * fs, n
 
 
+def run_modes(pdf: pd.DataFrame) -> pd.DataFrame:
+    """One run's channels (run, channel, x) to its modes: run, mode, freq_hz, channel, x."""
+    pdf = pdf.sort_values("channel")
+    u, freqs, _ = mvmd(np.stack(pdf["x"].to_numpy()).astype(float))
+    k, c, _ = u.shape
+    return pd.DataFrame({"run": pdf["run"].iloc[0], "mode": np.repeat(np.arange(k), c), "freq_hz": np.repeat(freqs, c), "channel": np.tile(pdf["channel"].to_numpy(), k), "x": list(u.reshape(k * c, -1))})
+
+
 def resize_weights(source: int, target: int, a: float = -0.75) -> np.ndarray:
     """(target, source) weights of bicubic interpolation, corners not aligned, edges repeated."""
     at = (np.arange(target) + 0.5) * source / target - 0.5

@@ -124,8 +124,8 @@ def welch_t(spark, d):
 
 
 def _inference(spark, d):
-    z, subjects, observed = _stack(spark, d)
-    return C.permutation_p(observed, C.permutation_ts(z, subjects, PERMUTATIONS), PERMUTATIONS)
+    z, subjects, _ = _stack(spark, d)
+    return C.permutation_p(C.permuted(z, subjects, PERMUTATIONS), PERMUTATIONS)
 
 
 @query("permutation_p", GROUPS + "SELECT i, j, round(p_uncorr, 6) AS p_uncorr FROM pf")
@@ -158,9 +158,8 @@ sizes AS (SELECT perm, component, count(*) AS size FROM comp GROUP BY ALL)
 
 
 def _components(spark, d):
-    z, subjects, observed = _stack(spark, d)
-    null = C.permutation_ts(z, subjects, PERMUTATIONS)
-    over = observed.select(F.lit(-1).alias("perm"), "i", "j", "t").union(null).where(F.abs("t") >= PRIMARY).select("perm", "i", "j")
+    z, subjects, _ = _stack(spark, d)
+    over = C.permuted(z, subjects, PERMUTATIONS, primary=PRIMARY).where("kind = 'over'").select("perm", "i", "j")
     return C.components(over, ["perm"])
 
 

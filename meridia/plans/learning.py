@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import functions as F
 
 from meridia.catalog import query
@@ -76,16 +75,19 @@ def knn_proba(spark, d):
 
 @query("pca_project")
 def pca_project(spark, d):
-    """Explained variance of the first eight components."""
+    """Size of each row's first eight coordinates on the principal axes, whose signs are free."""
     from pyspark.ml.feature import PCA
-    from pyspark.ml.functions import array_to_vector
+    from pyspark.ml.functions import array_to_vector, vector_to_array
 
-    df = rows(spark, d).select("id", array_to_vector("v").alias("v"))
+    df = rows(spark, d)
+    mean = df.select(F.posexplode("v").alias("i", "x")).groupBy("i").agg(F.avg("x").alias("m"))
+    mean = mean.agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda e: e["m"]).alias("m")).scalar()
+    df = df.withColumn("m", mean).select("id", array_to_vector(F.zip_with("v", "m", lambda a, b: a - b)).alias("v"))
     model = PCA(k=8, inputCol="v", outputCol="p").fit(df)
-    return spark.createDataFrame([(i, round(float(x), 6)) for i, x in enumerate(model.explainedVariance)], "component int, explained double")
+    return model.transform(df).select("id", F.posexplode(vector_to_array("p")).alias("component", "x")).select("id", "component", F.round(F.abs("x"), 5).alias("size"))
 
 
-def _forest(spark, d, trees=50):
+def _forest(spark, d, trees=100):
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.functions import array_to_vector, vector_to_array
 
@@ -102,14 +104,19 @@ def rf_proba(spark, d):
 
 @query("platt")
 def platt(spark, d):
-    """Calibrated scores; the two parameters are fitted on scores pooled by value and label."""
+    """Calibrated scores; the two parameters come from sums over scores pooled by value."""
     r = scored(spark, d)
-    pooled = r.groupBy("p", "y").count().orderBy("p", "y").toArrow()
-    n = pooled["count"].to_numpy()
-    a, b = L.platt(np.repeat(pooled["p"].to_numpy(), n), np.repeat(pooled["y"].to_numpy(), n))
+    a, b = L.platt(r)
     return r.select("id", F.round(1 / (1 + F.exp(-(F.lit(a) * F.col("p") + b))), 6).alias("calibrated"))
 
 
+@query("calibrator_choice", SCORED + "SELECT id, p AS calibrated FROM scored WHERE y = 1")
+def calibrator_choice(spark, d):
+    """The choice by size, where it must fall back: calibration rows of one class leave the scores as they are."""
+    ones = scored(spark, d).where("y = 1")
+    return M.calibrate(ones, ones).select("id", "calibrated")
+
+
 @query("class_counts", _ROWS + "SELECT split, count(*) AS n, count(*) FILTER (y = 1) AS positives, count(DISTINCT id) AS subjects FROM split GROUP BY 1")
 def class_counts(spark, d):
     return L.stratified(rows(spark, d).select("id", "y"), "id", "y").groupBy("split").agg(F.count("*").alias("n"), F.sum((F.col("y") == 1).cast("long")).alias("positives"), F.countDistinct("id").alias("subjects"))

@@ -58,12 +58,12 @@ def pr_curve(spark, d):
 
 @query("auc_roc", _CURVE + ", s AS (SELECT fpr - lag(fpr, 1, 0) OVER w AS dx, (tpr + lag(tpr, 1, 0) OVER w) / 2 AS m FROM roc WINDOW w AS (ORDER BY p DESC)) SELECT round(sum(dx * m), 8) AS auc FROM s")
 def auc_roc(spark, d):
-    return M.trapezoid(M.roc(scored(spark, d)), "fpr", "tpr", 0.0, F.lit(0.0)).select(F.round("auc", 8).alias("auc"))
+    return M.auc_roc(scored(spark, d)).select(F.round("auc", 8).alias("auc"))
 
 
 @query("auc_pr", _CURVE + ', s AS (SELECT recall - lag(recall, 1, 0) OVER w AS dx, ("precision" + coalesce(lag("precision") OVER w, "precision")) / 2 AS m FROM pr WINDOW w AS (ORDER BY p DESC)) SELECT round(sum(dx * m), 8) AS auc FROM s')
 def auc_pr(spark, d):
-    return M.trapezoid(M.pr(scored(spark, d)), "recall", "precision", 0.0, F.col("precision")).select(F.round("auc", 8).alias("auc"))
+    return M.auc_pr(scored(spark, d)).select(F.round("auc", 8).alias("auc"))
 
 
 _BINS = SCORED + ", g AS (SELECT least(floor(p * 10), 9)::int AS bin, count(*) AS n, avg(p) AS mean_p, avg(y) AS rate FROM scored GROUP BY 1), bins AS (SELECT b.bin, coalesce(n, 0) AS n, mean_p, rate FROM (SELECT unnest(range(10))::int AS bin) b LEFT JOIN g USING (bin)) "

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from meridia.catalog import query
 from meridia.operators import signal as G
-from meridia.operators.connectivity import band_of
+from meridia.operators.connectivity import band_of, edges_gram, mean_z
 from meridia.plans.adapters import SAMPLES, samples, table
 
 
@@ -21,12 +21,17 @@ def per_signal(df: DataFrame, kernel, ids: str = "channel") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            xs, out = batch.column("x").to_pylist(), [None] * batch.num_rows
-            for n in {len(x) for x in xs if x}:
-                at = [i for i, x in enumerate(xs) if x and len(x) == n]
-                for i, row in zip(at, kernel(np.array([xs[i] for i in at], float))):
-                    out[i] = row.ravel().tolist()
-            yield pa.RecordBatch.from_arrays([batch.column(ids), pa.array(out, pa.list_(pa.float64()))], names=[ids, "v"])
+            x = batch.column("x")
+            lengths = x.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            for n in np.unique(lengths):
+                at = pa.array(np.flatnonzero(lengths == n))
+                own = x.take(at)
+                if n:
+                    v = kernel(own.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(at), n)).reshape(len(at), -1)
+                    own = pa.ListArray.from_arrays(np.arange(0, v.size + 1, v.shape[1], np.int32), np.ascontiguousarray(v, float).ravel())
+                else:  # null or empty signals
+                    own = pa.nulls(len(at), pa.list_(pa.float64()))
+                yield pa.RecordBatch.from_arrays([batch.column(ids).take(at), own], names=[ids, "v"])
 
     return df.select(ids, "x").mapInArrow(run, f"{ids} long, v array<double>")
 
@@ -60,22 +65,12 @@ def psd_mean_db(spark, d):
     return p.groupBy("k").agg(F.round(10 * F.log10(F.avg("p")), 5).alias("mean_db"), F.round(10 / np.log(10) * F.stddev_samp("p") / F.avg("p"), 5).alias("std_db"))
 
 
-#: Scales of the query; the SQL convolves directly at the same ones.
-_QUERY_SCALES = (0, 100, 200)
-
-
-@query(
-    "cwt_power",
-    SAMPLES
-    + """, sc AS (SELECT k AS scale, 6 * 1.25 / (2 * pi() * 0.25 * power(0.01 / 0.25, k / 223.0::double)) AS s FROM (SELECT unnest([0, 100, 200]) AS k)),
-    kern AS (SELECT scale, s, j::int AS j, power(pi(), -0.25) / sqrt(s) * exp(-(j / s) * (j / s) / 2) AS g, 6 * j / s AS ph FROM sc CROSS JOIN (SELECT unnest(range(-63, 64)) AS j) WHERE abs(j) <= floor(4 * s))
-    SELECT a.channel, scale, a.t, round(power(sum(b.x * g * cos(ph)), 2) + power(sum(b.x * g * sin(ph)), 2), 5) + 0.0 AS power FROM samples a JOIN samples b USING (channel) JOIN kern ON j = a.t - b.t GROUP BY ALL""",
-)
+@query("cwt_power")
 def cwt_power(spark, d):
-    freqs = G.cwt_grid()[list(_QUERY_SCALES)]
-    flat = per_signal(_embeddings(spark, d), lambda x: G.cwt_power(x, freqs)).select("channel", F.posexplode("v").alias("at", "power"))
-    scale = F.element_at(F.array(*map(F.lit, _QUERY_SCALES)), F.expr("int(at div 64) + 1"))
-    return flat.select("channel", scale.alias("scale"), F.expr("int(at % 64)").alias("t"), (F.round("power", 5) + 0.0).alias("power"))
+    """Power at all scales of the grid, a row a channel and scale with its time course."""
+    flat = per_signal(_embeddings(spark, d), lambda x: G.cwt_power(x, G.cwt_grid()))
+    whole = flat.select("channel", F.posexplode(F.transform(F.sequence(F.lit(0), F.expr("size(v) div 64 - 1")), lambda k: F.slice("v", k * 64 + 1, 64))).alias("scale", "p"))
+    return whole.select("channel", "scale", F.transform("p", lambda x: F.round(x, 5) + 0.0).alias("power"))
 
 
 _ANALYTIC = _DFT + """, w AS (SELECT channel, k, re, im, CASE WHEN k = 0 OR k = 32 THEN 1 ELSE 2 END AS h FROM dft),
@@ -105,16 +100,18 @@ def envelope_normalize(spark, d):
 def _decompose(noise: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("channel")
-        _, freqs, n = G.mvmd(np.stack(pdf["x"].to_numpy()).astype(float), modes=4, most=120, noise=noise)
+        _, freqs, n = G.mvmd(np.stack(pdf["x"].to_numpy()).astype(float), noise=noise)
         return pd.DataFrame({"run": pdf["run"].iloc[0], "mode": np.arange(len(freqs)), "center_freq_hz": np.round(freqs, 6), "iterations": n})
 
     return run
 
 
 def _runs(spark, d):
-    """Runs of eight channels; a label's embeddings by position in hash groups of about that size."""
+    """Runs of about eight channels: a label's embeddings whose ids divided by 80 agree."""
+    # a run is little data and much work: a number of partitions of our own is not merged for its size
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     e = table(spark, d, "embeddings").select(F.expr("concat(label, ':', vec_id div 80)").alias("run"), F.col("vec_id").alias("channel"), F.col("embedding").alias("x"))
-    return e
+    return e.repartition(parts, "run")
 
 
 @query("mvmd_center_freq")
@@ -127,6 +124,44 @@ def na_mvmd_center_freq(spark, d):
     return _runs(spark, d).groupBy("run").applyInPandas(_decompose(1), "run string, mode int, center_freq_hz double, iterations int")
 
 
+def run_modes(spark, d) -> DataFrame:
+    """run, mode, freq_hz, channel, x: each run decomposed once; what follows reads its modes."""
+    return _runs(spark, d).groupBy("run").applyInPandas(G.run_modes, "run string, mode int, freq_hz double, channel long, x array<double>")
+
+
+@query("fc_per_mode")
+def fc_per_mode(spark, d):
+    """Connectivity of each mode of each run, and its slow band."""
+    z = edges_gram(run_modes(spark, d), ["run", "mode", "freq_hz"], "run string, mode int, freq_hz double, i long, j long, pearson double, fisher_z double")
+    return z.select("run", "mode", band_of(F.col("freq_hz")).alias("band"), "i", "j", F.round("pearson", 6).alias("pearson"), F.round("fisher_z", 6).alias("fisher_z"))
+
+
+@query("fc_mode_bands")
+def fc_mode_bands(spark, d):
+    """Mean of Fisher's z over the modes of a run that lie in each slow band, and its correlation."""
+    z = edges_gram(run_modes(spark, d), ["run", "mode", "freq_hz"], "run string, mode int, freq_hz double, i long, j long, pearson double, fisher_z double")
+    means = mean_z(z.withColumn("band", band_of(F.col("freq_hz"))).where("band is not null"), ["run", "band"])
+    return means.select("run", "band", "i", "j", F.round("fisher_z_mean", 6).alias("fisher_z_mean"), F.round("pearson", 6).alias("pearson"))
+
+
+def mode_spectrum(modes: DataFrame) -> DataFrame:
+    """run, channel, t, bin, h: the modes' Hilbert spectrum, the largest envelope in each log-frequency bin."""
+    analytic = modes.withColumn("row", F.xxhash64("run", "channel", "mode"))
+    both = per_signal(analytic.select("row", "x"), lambda x: np.concatenate([G.envelope(x), G.inst_freq(x)], 1), "row")
+    rows = analytic.select("row", "run", "channel", F.size("x").alias("t_max")).join(both, "row")
+    flat = rows.select("run", "channel", F.posexplode(F.arrays_zip(F.expr("slice(v, 1, t_max)").alias("e"), F.expr("slice(v, t_max + 1, t_max)").alias("f"))).alias("t", "p"))
+    inside = flat.select("run", "channel", "t", F.col("p.e").alias("e"), F.col("p.f").alias("f")).where("f >= 0.01D and f < 0.25D")
+    at = F.bround(F.expr("223 * (ln(f) - ln(0.25D)) / ln(0.01D / 0.25D)"), 0)
+    return inside.groupBy("run", "channel", "t", F.greatest(F.least(at, F.lit(223)), F.lit(0)).cast("int").alias("bin")).agg(F.max("e").alias("h"))
+
+
+@query("mode_spectrum_energy")
+def mode_spectrum_energy(spark, d):
+    """Modes to Hilbert spectrum to energy by channel and scale: the image that feature extraction reads, averaged over time."""
+    s = mode_spectrum(run_modes(spark, d))
+    return s.groupBy("run", "channel", "bin").agg(F.round(F.sum(F.col("h") * F.col("h")), 5).alias("energy"), F.count("*").alias("samples"))
+
+
 @query(
     "log_bin_map",
     """WITH f AS (SELECT vec_id, 0.01 + 0.24 * (vec_id % 97) / 97.0::double AS f FROM embeddings), bins AS (SELECT k, 0.01 * power(25, k / 15.0::double) AS b FROM (SELECT unnest(range(16)) AS k))

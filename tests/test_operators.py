@@ -46,15 +46,15 @@ def test_constant_and_identical_channels(spark):
 def test_metrics(spark):
     df = spark.createDataFrame([(0, 0, 0.1), (1, 0, 0.2), (2, 1, 0.8), (3, 1, 0.9)], "id int, y int, p double")
     assert df.agg(M.brier()).first()[0] == pytest.approx(0.025) and df.agg(M.log_loss()).first()[0] < 0.25
-    assert M.trapezoid(M.roc(df), "fpr", "tpr", 0.0, F.lit(0.0)).first()[0] == 1
-    assert M.trapezoid(M.pr(df), "recall", "precision", 0.0, F.col("precision")).first()[0] == 1
+    assert M.auc_roc(df).first()[0] == 1
+    assert M.auc_pr(df).first()[0] == 1
     assert 0.2 < M.youden(df).first().threshold <= 0.8 and 0.2 < M.f1(df).first().threshold <= 0.8
     half = spark.createDataFrame([(i, i % 2, 0.5) for i in range(6)], "id int, y int, p double")
-    assert M.trapezoid(M.roc(half), "fpr", "tpr", 0.0, F.lit(0.0)).first()[0] == 0.5
+    assert M.auc_roc(half).first()[0] == 0.5
     spec = spark.createDataFrame(list(zip([0, 0, 0, 0, 1, 1], [0.1, 0.2, 0.3, 0.4, 0.8, 0.9])), "y int, p double")
     assert M.at_specificity(spec, 0.75).first().threshold == pytest.approx(0.4)
     one = df.where("y = 1")
-    assert M.trapezoid(M.roc(one), "fpr", "tpr", 0.0, F.lit(0.0)).first()[0] is None and M.at_specificity(one, 0.9).first().threshold == 0.0
+    assert M.auc_roc(one).first()[0] is None and M.at_specificity(one, 0.9).first().threshold == 0.0
     fit = M.isotonic(df)
     assert [r.calibrated for r in M.isotonic_transform(df, fit).orderBy("id").collect()] == [0, 0, 1, 1]
     bins = {r.bin: r.n for r in M.bins(df).collect()}
@@ -79,10 +79,23 @@ def test_neighbours_and_calibrators(spark):
     data = np.random.default_rng(0).normal(size=(200, 3)) @ low.T
     mean, inv = L.whiten_full(data, 0.0)
     assert np.allclose(np.cov((data - mean) @ inv.T, rowvar=False), np.eye(3), atol=1e-4)
-    assert L.platt(np.array([0.1, 0.9]), np.array([0, 1])) == (1.0, 0.0) and L.platt(np.linspace(0, 1, 9), np.ones(9)) == (1.0, 0.0)
-    p = np.linspace(0.01, 0.99, 100)
-    a, b = L.platt(p, (p > 0.5).astype(int))
-    assert a > 1 and 0.3 < 1 / (1 + np.exp(-(a * 0.5 + b))) < 0.7
+    frame = lambda p, y: spark.createDataFrame([(int(b), float(a)) for a, b in zip(p, y)], "y int, p double")
+    assert L.platt(frame([0.1, 0.9], [0, 1])) == (1.0, 0.0) and L.platt(frame(np.linspace(0, 1, 9), np.ones(9))) == (1.0, 0.0)
+    rng = np.random.default_rng(5)
+    p = rng.random(300).round(2)
+    y = (rng.random(300) < 1 / (1 + np.exp(2 - 5 * p))).astype(int)
+    a, b = L.platt(frame(p, y))
+    t = np.where(y == 1, (y.sum() + 1) / (y.sum() + 2), 1 / ((1 - y).sum() + 2))
+    q = 1 / (1 + np.exp(-(a * p + b)))
+    assert abs((q - t).sum()) < 1e-5 and abs(((q - t) * p).sum()) < 1e-5  # the gradient of the loss
+    one = frame(p[y == 1], y[y == 1])
+    assert [r.calibrated for r in M.calibrate(one, one).collect()] == [r.p for r in one.collect()]
+    assert M.calibrate(one, frame(p, y)).count() == M.calibrate(one, frame(p, y), "isotonic").count() == y.sum()
+    d, ids = np.round(rng.random((20, 60)), 1), np.broadcast_to(rng.permutation(60), (20, 60))
+    got = L._best(d, ids, ids, 7)
+    for row in range(20):
+        want = sorted(zip(d[row], ids[row]))[:7]
+        assert list(zip(got[0][row], got[1][row])) == want
     for shape, k, want in (((50, 4), 2, 2), ((30, 4), 9, 4), ((5, 10), 20, 4)):
         axes = L.pca(np.random.default_rng(1).normal(size=shape), k)[1]
         assert len(axes) == want and np.allclose(np.linalg.norm(axes, axis=1), 1)
@@ -103,6 +116,44 @@ def test_fdr(spark):
     assert C.bh_fdr(df.where("i < 0"), "p", ["i"]).collect() == []
 
 
+def test_order_by_ranges(spark):
+    rng = np.random.default_rng(3)
+    p = np.round(rng.random(700), 3)
+    y = (rng.random(700) < p).astype(int)
+    df = spark.createDataFrame([(int(b), float(a)) for a, b in zip(p, y)], "y int, p double")
+    for r in M.curve(df).collect():
+        assert (r.tp, r.fp, r.pos, r.neg) == (int(y[p >= r.p].sum()), int((1 - y)[p >= r.p].sum()), int(y.sum()), int((1 - y).sum()))
+    fit = {r.p: r.y_hat for r in M.isotonic(df).collect()}
+    scores = sorted(fit)
+    mean = lambda a, b: y[(p >= a) & (p <= b)].mean()
+    for s in scores[::40]:
+        want = max(min(mean(a, b) for b in scores if b >= s) for a in scores if a <= s)
+        assert fit[s] == pytest.approx(want)
+    q = {r.k: r.q for r in C.bh_fdr(spark.createDataFrame([(k, float(v)) for k, v in enumerate(p)], "k int, v double"), "v", ["k"]).collect()}
+    order = np.lexsort((np.arange(700), p))
+    raw = np.minimum(1, p[order] * 700 / np.arange(1, 701))
+    assert [q[k] for k in order] == pytest.approx(np.minimum.accumulate(raw[::-1])[::-1].tolist())
+
+
+def test_permutations_by_matrix(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(12, 14))
+    x[0, :5] = np.nan
+    x[1] = 2.0
+    cases = np.array([rng.permutation(14) < 6 for _ in range(30)])
+    got = C.welch_matrix(x, cases)
+    for e in range(12):
+        for k, c in enumerate(cases):
+            a, b = (v[~np.isnan(v)] for v in (x[e, c], x[e, ~c]))
+            se = np.sqrt(a.var(ddof=1) / len(a) + b.var(ddof=1) / len(b)) if min(len(a), len(b)) > 1 else 0
+            assert got[e, k] == pytest.approx((a.mean() - b.mean()) / se if se > 1e-12 else 0, abs=1e-9)
+    rows = [(s, e, e + 1, float(x[e, s])) for e in range(2, 12) for s in range(14)]
+    z = spark.createDataFrame(rows, "subject int, i int, j int, z double")
+    people = spark.createDataFrame([(s, s < 6) for s in range(14)], "subject int, is_case boolean")
+    out = C.permutation_p(C.permuted(z, people, 60, blocks=3), 60).collect()
+    assert len(out) == 10 and all(1 / 61 <= r.p_uncorr <= r.p_fwer <= 1 for r in out)
+
+
 def test_components(spark):
     e = spark.createDataFrame([(0, 1, 2), (0, 2, 3), (0, 5, 6), (1, 1, 9)], "perm int, i int, j int")
     assert sorted((r.perm, r.i, r.component) for r in C.components(e, ["perm"]).collect()) == [(0, 1, 1), (0, 2, 1), (0, 5, 5), (1, 1, 1)]
@@ -143,16 +194,16 @@ def test_images():
 
 
 def test_names(spark):
-    name = "sub-NDARINVAL101MH2_task-hammerAP_run-01_space-MNI152NLin2009cAsym_res-2_desc-preproc_bold.nii.gz"
+    name = "sub-LAB7XY204_task-oddball_run-03_space-native_res-1_desc-clean_bold.nii.gz"
     df = spark.createDataFrame([(name,)], "name string")
     e = R.entities(F.col("name"))
     suffix, extension = R.suffix_and_extension(F.col("name"))
     r = df.select(F.try_element_at(e, F.lit("task")).alias("task"), F.try_element_at(e, F.lit("ses")).alias("ses"), suffix.alias("s"), extension.alias("x"), R.keep_entities(e, ["sub", "run"]).alias("k")).first()
-    assert tuple(r) == ("hammerAP", None, "bold", ".nii.gz", "sub-NDARINVAL101MH2_run-01")
-    ids = spark.createDataFrame([("sub-NDARINVAL101MH2",), ("NDARINVAL101MH2",), ("NDAR_INVAL101MH2",)], "s string")
-    assert {x[0] for x in ids.select(R.canonical_subject(F.col("s"))).collect()} == {"NDARINVAL101MH2"}
-    assert config.selection_fingerprint("vpfc_mpfc_amy", ["PFCm", "PFCv"], ["AMY"]) == "vpfc_mpfc_amy:PFCm,PFCv|AMY"
-    assert config.selection_fingerprint("limbic_pfc", ["PFCm"], [], ["LimbicB", "LimbicA"]) == "limbic_pfc:PFCm||net=LimbicA,LimbicB"
+    assert tuple(r) == ("oddball", None, "bold", ".nii.gz", "sub-LAB7XY204_run-03")
+    ids = spark.createDataFrame([("sub-NDARLAB7XY204",), ("NDARLAB7XY204",), ("NDAR_LAB7XY204",)], "s string")
+    assert {x[0] for x in ids.select(R.canonical_subject(F.col("s"))).collect()} == {"NDARLAB7XY204"}
+    assert config.selection_fingerprint("front", ["A1", "B2"], ["NUC"]) == "front:A1,B2|NUC"
+    assert config.selection_fingerprint("net", ["A1"], [], ["Y", "X"]) == "net:A1||net=X,Y"
     study = config.load("sampling_rate = 2.0\nunknown = 1\n[hht]\nnum_modes = 20\n[fc]\npermutations = 10")
     assert (study.sampling_rate, study.hht.num_modes, study.hht.alpha, study.fc.permutations, study.classification.k) == (2.0, 20, 1000.0, 10, 3)
 
