@@ -20,4 +20,4 @@ def query(key: str, sql: str | None = None) -> Callable[[Query], Query]:
     return keep
 
 
-from meridia.plans import connectivity, images, learning, relational, scores, signals, statistics  # noqa: E402, F401
+from meridia.plans import cohort_files, connectivity, images, learning, relational, scores, signals, statistics  # noqa: E402, F401

@@ -65,3 +65,10 @@ def selection_fingerprint(name: str, cortical: list[str], subcortical: list[str]
     if stratified:
         parts.append("strat=1")
     return "|".join(parts)
+
+
+def result_directory(base: str, name: str = "", networks: list[str] = ()) -> str:
+    """base, or its folder of the selection: name[__net-a_b], networks sorted."""
+    if not name:
+        return base
+    return f"{base}/{name}" + (f"__net-{'_'.join(sorted(networks))}" if networks else "")

@@ -227,3 +227,23 @@ def components(edges: DataFrame, keys: list[str]) -> DataFrame:
     kinds = dict(edges.dtypes)
     schema = ", ".join(f"{c} {kinds[c]}" for c in [*keys, "i", "j"]) + f", component {kinds['i']}"
     return edges.select(*keys, "i", "j").groupBy(*keys).applyInPandas(joined, schema)
+
+
+def group_statistics(z: DataFrame, subjects: DataFrame, permutations: int, primary: float, seed: int = 42, alpha: float = 0.05) -> tuple[DataFrame, DataFrame]:
+    """Whole group inference from one set of shuffled labels: a table of edges and one of components.
+
+    edges: i, j, t, p_uncorr, p_fwer, q, component (null under the primary threshold), p_component, mask (p_component < alpha).
+    components: component, size (edges), p. The permuted statistics are kept in memory and on disk for both, as
+    they cost far more than what follows.
+    """
+    stats = permuted(z, subjects, permutations, seed, primary).persist()
+    sizes = components(stats.where("kind = 'over'").select("perm", "i", "j"), ["perm"])
+    own = sizes.where("perm = -1").select("i", "j", "component")
+    sizes = sizes.groupBy("perm", "component").agg(F.count("*").alias("size"))
+    tops = sizes.where("perm >= 0").groupBy("perm").agg(F.max("size").alias("size")).agg(F.collect_list("size").alias("s")).scalar()
+    table = sizes.where("perm = -1").withColumn("tops", tops)  # permutations values: a parameter
+    table = table.select("component", "size", ((1 + F.size(F.filter("tops", lambda s: s >= F.col("size")))) / (permutations + 1)).alias("p"))
+    q = bh_fdr(permutation_p(stats, permutations), "p_uncorr", ["i", "j"])
+    member = own.join(table.select("component", F.col("p").alias("p_component")), "component")
+    edges = q.join(member, ["i", "j"], "left").withColumn("mask", F.coalesce(F.col("p_component") < alpha, F.lit(False)))
+    return edges.select("i", "j", "t", "p_uncorr", "p_fwer", "q", "component", "p_component", "mask"), table

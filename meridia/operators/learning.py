@@ -101,6 +101,13 @@ def vote(neighbours: DataFrame) -> DataFrame:
     return neighbours.groupBy("query").agg(p.alias("p")).withColumn("predicted", (F.col("p") > 0.5).cast("int"))
 
 
+def vote_classes(neighbours: DataFrame) -> DataFrame:
+    """query, predicted, share: the label of the most weight among any number of them, ties to the smaller."""
+    votes = neighbours.groupBy("query", "y").agg(F.sum(1 / (F.col("distance") + 1e-8)).alias("w"))
+    best = F.max_by("y", F.struct("w", -F.col("y")))
+    return votes.groupBy("query").agg(best.alias("predicted"), (F.max("w") / F.sum("w")).alias("share"))
+
+
 def whiten_diagonal(df: DataFrame, shrink: float) -> DataFrame:
     """v divided by the root of each dimension's sample variance, shrunk toward 1."""
     lam = max(shrink, 1e-6)

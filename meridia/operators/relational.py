@@ -124,3 +124,78 @@ def parse_group_key(key: Column) -> tuple[Column, Column]:
     """Subject and roi of a group key."""
     roi = F.regexp_extract(key, r"_roi(\d+)$", 1)
     return F.substring_index(key, "_", 1), F.when(roi != "", roi).try_cast("int")
+
+
+def any_answered(*items: Column) -> Column:
+    """Whether some item is not null."""
+    return reduce(lambda a, b: a | b, [c.isNotNull() for c in items])
+
+
+def spelt(df: DataFrame, names: dict[str, str]) -> DataFrame:
+    """df with each right name from a misspelt column; names that are right already stay."""
+    return df.withColumns({right: F.col(wrong) for right, wrong in names.items() if right not in df.columns and wrong in df.columns})
+
+
+Pattern = tuple[str, str | None]
+
+
+def matches(patterns: list[Pattern], contains: bool = False) -> Column:
+    """The first pattern (name, hemisphere or None: any) that a row's region equals or contains; null where none does."""
+    hit = lambda name, side: (F.contains("region", F.lit(name)) if contains else F.col("region") == name) & (F.lit(side is None) | F.col("hemisphere").eqNullSafe(F.lit(side)))
+    return F.coalesce(F.lit(None).cast("string"), *[F.when(hit(n, s), n) for n, s in patterns])
+
+
+def selected_rois(atlas: DataFrame, regions: list[Pattern] = (), networks: list[Pattern] = (), subcortical: list[Pattern] = ()) -> DataFrame:
+    """Rows of the selection, once each by row_index: atlas has row_index, kind, region, network, hemisphere.
+
+    A cortical row has to match both lists, an empty one of which matches all; with both empty no cortical row is meant.
+    A subcortical row has to contain a pattern. matched: the region, or the pattern contained.
+    """
+    cortical = F.lit(bool(regions or networks)) & (F.col("kind") == "cortical")
+    if regions:
+        cortical &= matches(regions).isNotNull()
+    if networks:
+        cortical &= reduce(lambda a, b: a | b, [(F.col("network") == n) & (F.lit(s is None) | F.col("hemisphere").eqNullSafe(F.lit(s))) for n, s in networks])
+    inner = F.when(F.col("kind") == "subcortical", matches(subcortical, contains=True))
+    out = atlas.withColumn("matched", F.when(cortical, F.col("region")).otherwise(inner)).where("matched is not null")
+    return out.dropDuplicates(["row_index"])
+
+
+def find_rois(atlas: DataFrame, rows: list[int] | None = None, ids: list[str] | None = None, networks: list[str] | None = None, regions: list[str] | None = None) -> DataFrame:
+    """Atlas rows by any mix of row numbers, ids, networks and regions (None: all)."""
+    for column, values in (("row_index", rows), ("id", ids), ("network", networks), ("region", regions)):
+        atlas = atlas if values is None else atlas.where(F.col(column).isin(values))
+    return atlas
+
+
+def checked_rows(selection: DataFrame, available: int) -> DataFrame:
+    """selection; the job fails on a row_index outside 0 .. available - 1, at the row itself."""
+    fail = F.raise_error(F.concat(F.lit("row "), F.col("row_index").cast("string"), F.lit(f" of {available}")))
+    return selection.withColumn("row_index", F.when((F.col("row_index") >= 0) & (F.col("row_index") < available), F.col("row_index")).otherwise(fail.cast(selection.schema["row_index"].dataType)))
+
+
+def concat_channels(cortical: DataFrame, subcortical: DataFrame, n_cortical: int) -> DataFrame:
+    """Both sets of series, the second numbered on from n_cortical."""
+    return cortical.unionByName(subcortical.withColumn("channel", (F.col("channel") + n_cortical).cast(cortical.schema["channel"].dataType)))
+
+
+def labelled(features: DataFrame, cohort: DataFrame, labels: dict[str, int]) -> DataFrame:
+    """features with y of their subject's cohort; subjects without one, or with a cohort that has no label, go.
+
+    A subject that stands more than once in cohort (subject, file, cohort) has the cohort of its first file.
+    """
+    first = one_per_key(cohort, "subject", ["file"], ["cohort"])
+    y = F.coalesce(F.lit(None).cast("int"), *[F.when(F.col("cohort") == k, v) for k, v in labels.items()])
+    return features.join(first.select("subject", y.alias("y")).where("y is not null"), "subject")
+
+
+def roi_rows(features: DataFrame, per_leaf: bool = False) -> DataFrame:
+    """Rows of a classification: group, subject, leaf, y, v with 0 for values that are not finite, and how many those were.
+
+    features: subject, leaf (null: none), roi, y, v (array). per_leaf: each leaf is a data set of its own, so the
+    group does not name it.
+    """
+    bad = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
+    group = group_key(F.col("subject").cast("string"), F.lit(None).cast("string") if per_leaf else F.col("leaf"), F.col("roi"))
+    scrubbed = F.size(F.filter("v", bad))
+    return features.select(group.alias("group"), "subject", "leaf", "y", F.transform("v", lambda x: F.when(bad(x), 0.0).otherwise(x.cast("double"))).alias("v"), scrubbed.alias("scrubbed"))

@@ -177,3 +177,27 @@ def nbs_component_p(spark, d):
     tops = sizes.where("perm >= 0").groupBy("perm").agg(F.max("size").alias("size")).agg(F.collect_list("size").alias("s")).scalar()
     out = sizes.where("perm = -1").withColumn("tops", tops)
     return out.select("component", "size", F.round((1 + F.size(F.filter("tops", lambda s: s >= F.col("size")))) / (PERMUTATIONS + 1), 6).alias("p"))
+
+
+_RUN = _NBS + f""", ranked AS (SELECT *, row_number() OVER (ORDER BY p_uncorr, i, j) AS k, count(*) OVER () AS n FROM pf),
+qs AS (SELECT *, min(least(1, p_uncorr * n / k)) OVER (ORDER BY k DESC ROWS UNBOUNDED PRECEDING) AS q FROM ranked),
+big AS (SELECT perm, max(size) AS size FROM sizes WHERE perm >= 0 GROUP BY ALL),
+cp AS (SELECT component, (1 + (SELECT count(*) FROM big WHERE big.size >= s.size)) / {PERMUTATIONS + 1}.0::double AS p FROM sizes s WHERE perm = -1),
+mem AS (SELECT i, j, component, p FROM comp JOIN cp USING (component) WHERE perm = -1)
+"""
+
+
+@query(
+    "group_statistics",
+    _RUN + "SELECT i, j, round(t, 6) AS t, round(p_uncorr, 6) AS p_uncorr, round(p_fwer, 6) AS p_fwer, round(q, 6) AS q, component, round(p, 6) AS p_component, coalesce(p < 0.05, false) AS mask FROM qs LEFT JOIN mem USING (i, j)",
+)
+def group_statistics(spark, d):
+    z, subjects, _ = _stack(spark, d)
+    edges, _ = C.group_statistics(z, subjects, PERMUTATIONS, PRIMARY)
+    return edges.select("i", "j", "component", "mask", *[F.round(c, 6).alias(c) for c in ("t", "p_uncorr", "p_fwer", "q", "p_component")])
+
+
+@query("fc_lookup", FC + "SELECT subject, i, j, round(r, 6) AS pearson FROM fc WHERE subject = 7 AND i = 0")
+def fc_lookup(spark, d):
+    """One row of one subject's matrix: the filter on the key reaches the scan of the events."""
+    return C.edges(series(spark, d).where("subject = 7"), ["subject"]).where("i = 0").select("subject", "i", "j", F.round("pearson", 6).alias("pearson"))

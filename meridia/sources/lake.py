@@ -42,3 +42,63 @@ def write_report(report: DataFrame, samples: DataFrame, path: str, run: str) ->
     """A nested JSON report and the per-sample rows of one run, side by side under its name."""
     report.write.mode("overwrite").json(f"{path}/run={run}/report")
     write_tsv(samples, f"{path}/run={run}/samples")
+
+
+#: Stage tables and the columns that partition them: few values each, whatever the number of subjects.
+STAGES = {"series": ["task"], "blocks": ["task"], "scalograms": ["task"], "modes": ["task"], "connectivity": ["task", "level"], "features": ["task", "source"], "group_edges": ["task"], "group_components": ["task"]}
+
+
+def _paths(spark: SparkSession, pattern: str) -> list[str]:
+    """Names of what a pattern meets, by Spark's own file system."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path)
+    return [f.getPath().getName() for f in found or []]
+
+
+def write_stage(df: DataFrame, root: str, stage: str, parameters: dict, overwrite: bool = False, key: str | None = None) -> None:
+    """Write a stage's rows with the fingerprint of their parameters, which is the outermost partition.
+
+    Without overwrite, rows whose key is there for the same parameters stay as they are and only new ones are added, so a
+    stage that was stopped goes on. The parameters go to the table `attributes`, once a fingerprint.
+    """
+    spark, name = df.sparkSession, fingerprint(parameters)
+    here = f"{root}/{stage}/fingerprint={name}"
+    if not _paths(spark, f"{root}/attributes/stage={stage}/fingerprint={name}"):
+        facts = [(stage, name, k, json.dumps(v, default=str)) for k, v in sorted(parameters.items())] or [(stage, name, "", "null")]
+        spark.createDataFrame(facts, "stage string, fingerprint string, name string, value string").write.mode("append").partitionBy("stage", "fingerprint").parquet(f"{root}/attributes")
+    if overwrite:
+        df.write.mode("overwrite").partitionBy(*STAGES[stage]).parquet(here)
+        return
+    if key and _paths(spark, here):
+        df = df.join(spark.read.parquet(here).select(key).distinct(), key, "left_anti")
+    df.write.mode("append").partitionBy(*STAGES[stage]).parquet(here)
+
+
+def read_stage(spark: SparkSession, root: str, stage: str, parameters: dict) -> DataFrame:
+    """Rows of a stage for these parameters; fails where they were never written."""
+    return spark.read.parquet(f"{root}/{stage}/fingerprint={fingerprint(parameters)}")
+
+
+def stale(spark: SparkSession, root: str, stage: str, parameters: dict) -> bool:
+    """Whether a stage has rows, but none for these parameters."""
+    there = _paths(spark, f"{root}/{stage}/fingerprint=*")
+    return bool(there) and f"fingerprint={fingerprint(parameters)}" not in there
+
+
+def next_run(spark: SparkSession, path: str) -> str:
+    """Name of a run that comes after all under path, so that no report is overwritten."""
+    numbers = [int(n[4:]) for n in _paths(spark, f"{path}/run=*") if n[4:].isdigit()]
+    return f"{max(numbers, default=0) + 1:04d}"
+
+
+def write_splits(rows: DataFrame, path: str, key: str = "subjectkey") -> None:
+    """One sorted table of keys a split."""
+    for name in ("train", "calibration", "holdout"):
+        write_tsv(rows.where(F.col("split") == name).select(key).distinct(), f"{path}/{name}", [key])
+
+
+def dump(df: DataFrame, path: str, enabled: bool) -> DataFrame:
+    """df itself, written out as a table for diagnosis where that is enabled."""
+    if enabled:
+        write_tsv(df, path)
+    return df
