@@ -104,3 +104,22 @@ def cnn_features(spark, d):
             yield pa.RecordBatch.from_arrays([batch.column("channel"), pa.array(out, pa.list_(pa.float64()))], names=["channel", "v"])
 
     return rows.mapInArrow(run, "channel long, v array<double>").select(F.col("channel").alias("label"), F.col("v").alias("features"))
+
+
+@query("quantize_global", SAMPLES + "SELECT channel, t, greatest(least(floor((x - (SELECT min(x) FROM samples)) / (SELECT CASE WHEN max(x) = min(x) THEN 1 ELSE max(x) - min(x) END FROM samples) * 223), 223), 0)::int AS level FROM samples")
+def quantize_global(spark, d):
+    """The one of 224 levels that each sample takes within the range of all channels."""
+    s = samples(spark, d)
+    low, high = s.agg(F.min("x").alias("v")).scalar(), s.agg(F.max("x").alias("v")).scalar()
+    ranged = s.withColumn("low", low).withColumn("high", high)
+    span = F.when(F.col("high") == F.col("low"), 1.0).otherwise(F.col("high") - F.col("low"))
+    return ranged.select("channel", "t", F.greatest(F.least(F.floor((F.col("x") - F.col("low")) / span * 223), F.lit(223)), F.lit(0)).cast("int").alias("level"))
+
+
+@query("resized_mean")
+def resized_mean(spark, d):
+    """Mean over a label's embeddings of their 8 x 8 images, each resized to 16 x 16 before."""
+    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("channel"), "label", F.col("embedding").alias("x"))
+    big = per_signal(e, lambda x: G.resize(x.reshape(-1, 8, 8), 16, 16).reshape(len(x), -1))
+    cells = big.join(e.select("channel", "label"), "channel").select("label", F.posexplode("v").alias("cell", "x"))
+    return cells.groupBy("label", "cell").agg(F.round(F.avg("x"), 6).alias("mean"))

@@ -209,3 +209,24 @@ def band_scales(spark, d):
     """First and last scale of each slow band on the wavelet grid."""
     g = spark.range(224).withColumn("f", F.expr("0.25D * power(0.01D / 0.25D, id / 223D)")).withColumn("band", band_of(F.col("f")))
     return g.where("band is not null").groupBy("band").agg(F.min("id").alias("first"), F.max("id").alias("last"))
+
+
+@query("cwt_normalised")
+def cwt_normalised(spark, d):
+    """Power at all scales, divided by the largest of its channel (0 stays 0)."""
+    top = lambda p: p / np.where((m := p.max((-2, -1), keepdims=True)) > 0, m, 1)
+    flat = per_signal(_embeddings(spark, d), lambda x: top(G.cwt_power(x, G.cwt_grid())))
+    whole = flat.select("channel", F.posexplode(F.transform(F.sequence(F.lit(0), F.expr("size(v) div 64 - 1")), lambda k: F.slice("v", k * 64 + 1, 64))).alias("scale", "p"))
+    return whole.select("channel", "scale", F.transform("p", lambda x: F.round(x, 5) + 0.0).alias("power"))
+
+
+@query(
+    "log_bin_sum",
+    """WITH f AS (SELECT vec_id, 0.01 + 0.24 * (vec_id % 97) / 97.0::double AS f FROM embeddings), bins AS (SELECT k, 0.01 * power(25, k / 15.0::double) AS b FROM (SELECT unnest(range(16)) AS k)),
+    m AS (SELECT vec_id, arg_min(k, (round(abs(f - b), 10), k)) AS bin FROM f CROSS JOIN bins GROUP BY ALL), s AS (SELECT vec_id, label AS run, unnest(range(len(embedding)))::int AS t, unnest(embedding)::double AS x FROM embeddings)
+    SELECT run, bin, t, round(sum(x), 4) + 0.0 AS x FROM s JOIN m USING (vec_id) GROUP BY ALL""",
+)
+def log_bin_sum(spark, d):
+    """Modes (embeddings, with the frequencies of log_bin_map) of a run (label) summed in each log-frequency bin."""
+    e = table(spark, d, "embeddings").select("vec_id", F.col("label").alias("run"), F.posexplode("embedding").alias("t", "x"))
+    return e.join(log_bin_map(spark, d), "vec_id").groupBy("run", "bin", "t").agg((F.round(F.sum(F.col("x").cast("double")), 4) + 0.0).alias("x"))

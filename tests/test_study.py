@@ -85,3 +85,25 @@ def test_group_statistics(spark):
     assert all(got[k].p_fwer < 0.05 and got[k].q < 0.05 and got[k].component == 0 for k in triangle)
     top = max(table.collect(), key=lambda r: r.size)
     assert (top.component, top.size) == (0, 3) and top.p < 0.05
+
+
+def test_images_of_tables(spark):
+    """Resizing is linear, so the mean of resized images is the resized mean; the largest normalised power of a channel is 1."""
+    import os
+
+    import duckdb
+
+    from meridia.operators import signal as G
+    from meridia.plans.images import resized_mean
+    from meridia.plans.signals import cwt_normalised
+
+    data = "/root/testdata/sf0.001"
+    if not os.path.isdir(data):
+        pytest.skip("no test tables")
+    rows = duckdb.sql(f"SELECT label, embedding FROM '{data}/embeddings.parquet'").fetchall()
+    got = {(r.label, r.cell): r["mean"] for r in resized_mean(spark, data).collect()}
+    for label in {r[0] for r in rows}:
+        image = G.resize(np.mean([v for k, v in rows if k == label], axis=0).reshape(1, 8, 8), 16, 16).ravel()
+        assert np.allclose([got[label, c] for c in range(256)], image, atol=2e-5)
+    tops = cwt_normalised(spark, data).groupBy("channel").agg(F.max(F.array_max("power")).alias("m"), F.min(F.array_min("power")).alias("l")).collect()
+    assert len(tops) == len(rows) and all(r.m == 1 and r.l >= 0 for r in tops)
