@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
@@ -14,6 +15,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that a kernel handles at once; a longer text is handled alone.
 SLICE_BYTES = 2 << 20
+#: The C library's call that gives freed memory back; other C libraries have none.
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,8 +65,15 @@ def forget(*tables: DataFrame | None) -> None:
             files.cancelDeleteOnExit(target)
 
 
+def release() -> None:
+    """Give memory that a worker has freed back to the machine: workers outlive their tasks and stand beside the JVM."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM:
+        _TRIM(0)
+
+
 def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """The rows of a batch in runs whose texts together have about limit bytes."""
+    """The rows of a batch in runs whose texts together have about limit bytes; then freed memory goes back."""
     sizes = pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False)
     start = total = 0
     for i, n in enumerate(sizes):
@@ -73,6 +83,7 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iter
         total += int(n)
     if start < len(sizes):
         yield batch.slice(start)
+    release()
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text
-from .common import components, cut, forget, slices
+from .common import components, cut, forget, release, slices
 
 K, T, R = 5, 128, 10
 NODE, FAMILY, DEPTH, PIVOTS = 1024, 2048, 12, 32
@@ -179,10 +179,15 @@ class Sets:
 
     def __init__(self, sets: list[np.ndarray], percent: int) -> None:
         self.n, self.percent = np.array([len(x) for x in sets]), percent
-        _, self.tokens = np.unique(np.concatenate(sets), return_inverse=True)
-        owner = np.repeat(np.arange(len(sets)), self.n)
-        order = np.argsort(self.tokens, kind="stable")
-        self.posts, self.at = owner[order], np.searchsorted(self.tokens[order], np.arange(self.tokens.max() + 2 if len(self.tokens) else 1))
+        flat = np.concatenate(sets)
+        order = np.argsort(flat, kind="stable")
+        flat = flat[order]
+        first = np.concatenate([[True], flat[1:] != flat[:-1]])[: len(flat)]  # of each token's posts
+        del flat
+        self.at = np.append(np.flatnonzero(first), len(first))
+        self.tokens = np.empty(len(first), np.int32)
+        self.tokens[order] = np.cumsum(first, dtype=np.int32) - np.int32(1)
+        self.posts = np.repeat(np.arange(len(sets), dtype=np.int32), self.n)[order]
         self.ends = np.cumsum(self.n)
 
     def near(self, i: int, low: int) -> np.ndarray:
@@ -206,6 +211,16 @@ def linked(members: Sketches | Sets, forest: Forest, rows: range, low: int = 0)
             return
 
 
+def unpacked(col: pa.ChunkedArray) -> list[np.ndarray]:
+    """The sets of a column of their bytes, as views of its buffers."""
+    out = []
+    for c in col.chunks:
+        at = np.frombuffer(c.buffers()[1], np.int32, len(c) + 1, 4 * c.offset) // 8
+        values = np.frombuffer(c.buffers()[2] or b"", np.uint64, int(at[-1]))
+        out += [values[x:y] for x, y in zip(at[:-1], at[1:])]
+    return out
+
+
 #: Sides of a leaf's rows: all pairs among these; pivots; their others; the rest; all that it is compared with.
 ALL, PIVOT, OTHER, REST, EVERY = range(5)
 
@@ -216,7 +231,7 @@ def _met(make):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in groups(batches, "node"):
             ids, side = t["id"].to_numpy(), t["side"].to_numpy()
-            members, forest, n = make(t), Forest(len(ids)), len(ids)
+            members, own, forest, n = make(t), None, Forest(len(ids)), len(ids)
             first = int(np.searchsorted(side, [PIVOT + 1, REST + 1][int(side[0] >= REST)]))  # pivots, or the rest
             far: list[int] = []
             if side[0] == ALL:
@@ -234,6 +249,8 @@ def _met(make):
             a = np.array([i for i, _ in found] + far, np.int64)
             b = pa.array([int(ids[j]) for _, j in found] + [None] * len(far), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(ids[a], pa.int64()), b, t["root"].combine_chunks().take(pa.array(a))], names=["a", "b", "root"])
+            members = own = None
+        release()
 
     return run
 
@@ -306,7 +323,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = rows.join(members.select(F.col("rep").alias("rid"), F.col("id").alias("class"), "k1", "k2").hint("merge"), F.col("id") == F.col("rid")).select(F.col("class").alias("id"), "k1", "k2", "text")
     sets = texts.mapInArrow(_sets(k), "id long, shingles binary").dropDuplicates(["id"])
     known = members.join(sizes, "root").select("root", "id", "many", parts.alias("parts"))
-    links, held = met(known, lambda x: x.join(sets, "id"), lambda t: Sets([np.frombuffer(x, np.uint64) for x in t["shingles"].to_pylist()], percent))
+    links, held = met(known, lambda x: x.join(sets, "id"), lambda t: Sets(unpacked(t["shingles"]), percent))
     final = components(links)
     forget(members, sizes, held)
     # 3. back to the documents, through their classes; least ids are written, so that a large component's rows can be split
