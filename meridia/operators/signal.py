@@ -5,10 +5,21 @@ Array kernels only; meridia.plans applies them per channel or run in Arrow batch
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from decimal import ROUND_HALF_UP, Context, Decimal
+from functools import lru_cache
+from math import isfinite
+
 import numpy as np
 import pandas as pd
 
 FS, F_MIN, F_MAX, SCALES, OMEGA = 1.25, 0.010, 0.250, 224, 6.0
+#: Signals up to this length are transformed by one matrix product (15 MB of matrices at 224 scales), longer ones by FFT.
+DIRECT = 64
+#: Values that a block of wavelet power holds: 8 MB.
+CWT_VALUES = 1 << 20
+#: Digits enough for any double.
+_EXACT = Context(prec=400)
 
 
 def cwt_grid(n: int = SCALES) -> np.ndarray:
@@ -28,18 +39,83 @@ def cwt_power(x: np.ndarray, freqs: np.ndarray, fs: float = FS) -> np.ndarray:
     cut at |u| <= 4; frequencies map to scales by s = OMEGA fs / (2 pi f).
     """
     n = x.shape[-1]
+    if n <= DIRECT:
+        re, im = _morlet_matrices(n, np.asarray(freqs, float).tobytes(), fs)
+        out, other = x @ re, x @ im
+        out *= out
+        other *= other
+        out += other
+        return out.reshape(*x.shape[:-1], len(freqs), n)
     out = np.empty((*x.shape[:-1], len(freqs), n))
     for k, f in enumerate(freqs):
-        s = OMEGA * fs / (2 * np.pi * f)
-        half = int(min(np.floor(4 * s), n - 1))
-        u = np.arange(-half, half + 1) / s
-        kernel = np.pi**-0.25 / np.sqrt(s) * np.exp(1j * OMEGA * u - u * u / 2)
+        kernel, half = _morlet(n, f, fs)
         size = 1 << int(n + 2 * half).bit_length()
         full = np.fft.ifft(np.fft.fft(x, size) * np.fft.fft(kernel, size))
         out[..., k, :] = np.abs(full[..., half : half + n]) ** 2
     return out
 
 
+def _morlet(n: int, f: float, fs: float) -> tuple[np.ndarray, int]:
+    """The kernel at frequency f for n samples, and the index of its middle."""
+    s = OMEGA * fs / (2 * np.pi * f)
+    half = int(min(np.floor(4 * s), n - 1))
+    u = np.arange(-half, half + 1) / s
+    return np.pi**-0.25 / np.sqrt(s) * np.exp(1j * OMEGA * u - u * u / 2), half
+
+
+@lru_cache(4)
+def _morlet_matrices(n: int, freqs: bytes, fs: float) -> tuple[np.ndarray, np.ndarray]:
+    """(n, scales * n) real and imaginary part of the transform of n samples."""
+    freqs = np.frombuffer(freqs)
+    out = np.zeros((n, len(freqs), n), complex)
+    gap = np.arange(n) - np.arange(n)[:, None]
+    for k, f in enumerate(freqs):
+        kernel, half = _morlet(n, f, fs)
+        out[:, k] = np.where(np.abs(gap) <= half, kernel[np.clip(gap + half, 0, 2 * half)], 0)
+    out = out.reshape(n, -1)
+    return out.real.copy(), out.imag.copy()
+
+
+def cwt_blocks(x: np.ndarray, freqs: np.ndarray, normalised: bool = False, limit: int = CWT_VALUES) -> Iterator[tuple[slice, slice, np.ndarray]]:
+    """cwt_power of rows in blocks of about limit values: which rows, which scales, power.
+
+    normalised: divided by the largest power of the row at all scales (0 stays 0). A row beyond limit values comes
+    in several blocks of scales, at one scale at least; its largest power is then found in a pass before.
+    """
+    n = x.shape[-1]
+    rows, scales = max(1, limit // (n * len(freqs))), min(len(freqs), max(1, limit // n))
+    parts = [slice(k, min(k + scales, len(freqs))) for k in range(0, len(freqs), scales)]
+    for i in range(0, len(x), rows):
+        own = slice(i, min(i + rows, len(x)))
+        top = np.max([cwt_power(x[own], freqs[part]).max((-2, -1)) for part in parts], 0) if normalised and len(parts) > 1 else None
+        for part in parts:
+            power = cwt_power(x[own], freqs[part])
+            if normalised:
+                most = power.max((-2, -1)) if top is None else top
+                power /= np.where(most > 0, most, 1)[:, None, None]
+            yield own, part, power
+
+
+def round_half_up(x: np.ndarray, digits: int) -> np.ndarray:
+    """Spark's round(x, digits) + 0.0: half up on the decimal number that x prints as."""
+    out = np.empty(x.shape)
+    given, made, factor = x.reshape(-1), out.reshape(-1), 10.0**digits
+    for i in range(0, len(given), 1 << 15):  # parts that stay in a core's cache
+        part = given[i : i + (1 << 15)]
+        with np.errstate(over="ignore", invalid="ignore"):
+            y = part * factor
+            k = np.rint(y)
+            now = np.divide(k, factor, out=made[i : i + len(part)])
+            now += 0.0
+            y -= k
+            # where this fails the product does not tell on which side of a half the number lies
+            sure = np.abs(y, out=y) < 0.499999 - np.abs(k, out=k) * 1e-15
+        for at in np.flatnonzero(~sure).tolist():
+            v = float(part[at])
+            now[at] = float(Decimal(repr(v)).quantize(Decimal(1).scaleb(-digits), ROUND_HALF_UP, _EXACT)) + 0.0 if isfinite(v) else v
+    return out
+
+
 def analytic(x: np.ndarray) -> np.ndarray:
     """Analytic signal of rows by the FFT."""
     n = x.shape[-1]

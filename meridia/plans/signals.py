@@ -36,6 +36,30 @@ def per_signal(df: DataFrame, kernel, ids: str = "channel") -> DataFrame:
     return df.select(ids, "x").mapInArrow(run, f"{ids} long, v array<double>")
 
 
+def scalogram(df: DataFrame, normalised: bool = False) -> DataFrame:
+    """channel, scale, power (array over time, rounded) at all scales of the grid; df: channel, x (array).
+
+    A block of bounded size at a time, whatever the batch; null and empty signals have no rows.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grid = G.cwt_grid()
+        for batch in batches:
+            x = batch.column("x")
+            lengths = x.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            for n in np.unique(lengths[lengths > 0]).tolist():
+                at = np.flatnonzero(lengths == n)
+                own = x.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(at), n)
+                for rows, scales, power in G.cwt_blocks(own, grid, normalised):
+                    r, k, _ = power.shape
+                    flat = pa.array(G.round_half_up(power, 5).ravel())
+                    values = pa.ListArray.from_arrays(np.arange(0, r * k * n + 1, n, np.int32), flat)
+                    scale = np.tile(np.arange(scales.start, scales.stop, dtype=np.int32), r)
+                    yield pa.RecordBatch.from_arrays([batch.column("channel").take(pa.array(np.repeat(at[rows], k))), pa.array(scale), values], names=["channel", "scale", "power"])
+
+    return df.select("channel", "x").mapInArrow(run, "channel long, scale int, power array<double>")
+
+
 def _embeddings(spark, d):
     return table(spark, d, "embeddings").select(F.col("vec_id").alias("channel"), F.col("embedding").alias("x"))
 
@@ -68,9 +92,7 @@ def psd_mean_db(spark, d):
 @query("cwt_power")
 def cwt_power(spark, d):
     """Power at all scales of the grid, a row a channel and scale with its time course."""
-    flat = per_signal(_embeddings(spark, d), lambda x: G.cwt_power(x, G.cwt_grid()))
-    whole = flat.select("channel", F.posexplode(F.transform(F.sequence(F.lit(0), F.expr("size(v) div 64 - 1")), lambda k: F.slice("v", k * 64 + 1, 64))).alias("scale", "p"))
-    return whole.select("channel", "scale", F.transform("p", lambda x: F.round(x, 5) + 0.0).alias("power"))
+    return scalogram(_embeddings(spark, d))
 
 
 _ANALYTIC = _DFT + """, w AS (SELECT channel, k, re, im, CASE WHEN k = 0 OR k = 32 THEN 1 ELSE 2 END AS h FROM dft),
@@ -214,10 +236,7 @@ def band_scales(spark, d):
 @query("cwt_normalised")
 def cwt_normalised(spark, d):
     """Power at all scales, divided by the largest of its channel (0 stays 0)."""
-    top = lambda p: p / np.where((m := p.max((-2, -1), keepdims=True)) > 0, m, 1)
-    flat = per_signal(_embeddings(spark, d), lambda x: top(G.cwt_power(x, G.cwt_grid())))
-    whole = flat.select("channel", F.posexplode(F.transform(F.sequence(F.lit(0), F.expr("size(v) div 64 - 1")), lambda k: F.slice("v", k * 64 + 1, 64))).alias("scale", "p"))
-    return whole.select("channel", "scale", F.transform("p", lambda x: F.round(x, 5) + 0.0).alias("power"))
+    return scalogram(_embeddings(spark, d), normalised=True)
 
 
 @query(

@@ -107,3 +107,81 @@ def test_images_of_tables(spark):
         assert np.allclose([got[label, c] for c in range(256)], image, atol=2e-5)
     tops = cwt_normalised(spark, data).groupBy("channel").agg(F.max(F.array_max("power")).alias("m"), F.min(F.array_min("power")).alias("l")).collect()
     assert len(tops) == len(rows) and all(r.m == 1 and r.l >= 0 for r in tops)
+
+
+class Handed:
+    """Stands for a table: keeps the function that mapInArrow() is given."""
+
+    def select(self, *columns):
+        return self
+
+    def mapInArrow(self, run, schema):  # noqa: N802
+        self.run = run
+        return self
+
+
+@pytest.mark.parametrize("name", ["cwt_power", "cwt_normalised"])
+def test_scalograms_take_bounded_memory(monkeypatch, name):
+    """A batch of 3000 signals has 344 MB of power; no more than a few blocks of 8 MB stand at once."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from meridia.operators import signal as G
+    from meridia.plans import signals
+
+    x = np.random.default_rng(3).normal(size=(3000, 64)).astype(np.float32)
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(3000)), pa.array(list(x), pa.list_(pa.float32()))], names=["channel", "x"])
+    stub = Handed()
+    monkeypatch.setattr(signals, "_embeddings", lambda spark, d: stub)
+    getattr(signals, name)(None, "")
+    G.cwt_power(np.zeros((1, 64)), G.cwt_grid())
+    tracemalloc.start()
+    before, rows = pa.total_allocated_bytes(), 0
+    for out in stub.run(iter([batch])):
+        assert out.nbytes <= 16 * G.CWT_VALUES and pa.total_allocated_bytes() - before <= 64 * G.CWT_VALUES
+        rows += out.num_rows
+    assert rows == 3000 * 224 and tracemalloc.get_traced_memory()[1] < 100 << 20
+    tracemalloc.stop()
+
+
+def test_scalograms_of_any_length(spark):
+    from meridia.operators import signal as G
+    from meridia.plans.signals import scalogram
+
+    rng = np.random.default_rng(4)
+    signals = {1: rng.normal(size=64), 2: rng.normal(size=100) * 50, 3: np.zeros(64), 4: rng.normal(size=3), 5: [], 6: None}
+    df = spark.createDataFrame([(k, None if v is None else [float(e) for e in v]) for k, v in signals.items()], "channel long, x array<double>")
+    for normalised in (False, True):
+        got = {}
+        for r in scalogram(df, normalised).orderBy("channel", "scale").collect():
+            got.setdefault(r.channel, []).append(r.power)
+        assert sorted(got) == [1, 2, 3, 4]  # null and empty signals have no rows
+        for k, image in got.items():
+            x = np.array(signals[k])
+            want = np.stack([np.abs(np.convolve(x, G._morlet(len(x), f, G.FS)[0]))[G._morlet(len(x), f, G.FS)[1] :][: len(x)] ** 2 for f in G.cwt_grid()])
+            assert np.allclose(image, want / (want.max() or 1) if normalised else want, rtol=1e-9, atol=6e-6)
+
+
+def test_blocks_of_wavelet_power_are_the_whole():
+    from meridia.operators import signal as G
+
+    x, grid = np.random.default_rng(5).normal(size=(7, 70)), G.cwt_grid()
+    whole = G.cwt_power(x, grid)
+    for normalised, want in ((False, whole), (True, whole / whole.max((1, 2), keepdims=True))):
+        for limit in (1, 1000, 20_000, G.CWT_VALUES):
+            out = np.full(whole.shape, np.nan)
+            for rows, scales, power in G.cwt_blocks(x, grid, normalised, limit):
+                assert power.size <= max(limit, 70) and np.isnan(out[rows, scales]).all()
+                out[rows, scales] = power
+            assert np.allclose(out, want, rtol=1e-12)
+
+
+def test_rounding_is_that_of_spark(spark):
+    from meridia.operators import signal as G
+
+    rng = np.random.default_rng(6)
+    x = np.concatenate([rng.normal(size=2000), (rng.integers(0, 10**6, 2000) * 10 + 5) / 10**6, [0.0, -0.0, 2.675, 1.000005, -0.000005, 4.5e-6, 1e300, 123456789.123455, np.nan, np.inf, -np.inf]])
+    df = spark.createDataFrame([(i, float(v)) for i, v in enumerate(x)], "i int, v double").select("i", (F.round("v", 5) + 0.0).alias("v"))
+    want = np.array([r.v for r in df.orderBy("i").collect()])
+    assert np.array_equal(G.round_half_up(x, 5), want, equal_nan=True)
